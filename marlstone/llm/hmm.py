@@ -9,52 +9,31 @@ what the states add. Unknown words have ratio 1.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import Stash, fold_of, read, ship
+from .wordhash import word_hashes
 
-STATES, CLASS_BITS, PASSES = 8, 13, 5
+STATES, CLASS_BITS, PASSES = 8, 13, 6
+#: How much the first model stays in a state, so that states become topics and languages; 0 leaves moves to chance.
+STAY = 0.9
 #: Training runs over stretches of so many tokens, each begun from the stationary state; scoring runs over whole texts.
 STRETCH = 128
 #: Words that make up at least one in FREQUENT tokens are looked up from a broadcast table (so many words at most), others joined.
 FREQUENT = 1 << 21
-MOST_WORDS = 1_500_000
-END = b"\xff"  # no UTF-8 text has it
+END = -0x61C8864680B583EB  # hash of the end
 CLASSES = 1 << CLASS_BITS
 
 
-class _Hashes(dict):
-    """word -> its number; hashes are kept by number."""
-
-    def __init__(self):
-        super().__init__()
-        self.digests: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = i = len(self)
-        self.digests.append(xxhash.xxh3_64_digest(word))
-        return i
-
-
-_hashes = [_Hashes()]
-
-
-def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each text's words and the end as numbers of this worker, tokens of each text, and the hash of each number."""
-    if len(_hashes[0]) > MOST_WORDS:
-        _hashes[0] = _Hashes()
-    look = _hashes[0].__getitem__
-    rows = [np.fromiter(map(look, [*(t or "").encode().lower().split(), END]), np.int64) for t in texts]
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    kinds = np.frombuffer(b"".join(_hashes[0].digests), ">i8").astype(np.int64)
-    return flat, np.array([len(r) for r in rows], np.int64), kinds
+def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each token of the texts, words and an end for each text, and each text's number of tokens."""
+    words, n = word_hashes(texts)
+    return np.insert(words.view(np.int64), np.cumsum(n), END), n + 1
 
 
 def class_of(h: np.ndarray) -> np.ndarray:
@@ -114,11 +93,12 @@ class Model:
         return gamma.sum(axis=0), moves, emit, float((np.log(scale) * real.T).sum())
 
 
-def first_model(mass: np.ndarray, states: int = STATES, seed: int = 11) -> Model:
+def first_model(mass: np.ndarray, states: int = STATES, stay: float = STAY, seed: int = 11) -> Model:
     """States that differ at random, by class."""
     rng = np.random.default_rng(seed)
-    emit = mass * np.exp(0.7 * rng.standard_normal((states, CLASSES)))
-    return Model(np.full(states, 1 / states), np.full((states, states), 0.3 / states) + 0.7 * np.eye(states), ratios(emit, mass))
+    emit = mass * np.exp(rng.standard_normal((states, CLASSES)))
+    move = (1 - stay) * rng.dirichlet(np.ones(states), size=states) + stay * np.eye(states)
+    return Model(np.full(states, 1 / states), move, ratios(emit, mass))
 
 
 def ratios(emit: np.ndarray, mass: np.ndarray) -> np.ndarray:
@@ -135,35 +115,43 @@ def refit(start: np.ndarray, moves: np.ndarray, emit: np.ndarray, mass: np.ndarr
     return Model(start, moves, ratios(emit + prior, mass))
 
 
-def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of the words of texts, with counts; partial, a worker's memory is bounded."""
-    total: Counter = Counter()
+def _texts(batch: pa.RecordBatch, column: int, most: int = 2_000_000) -> Iterator[tuple[int, list]]:
+    """Texts of a batch in parts of so many characters: the place of the first, and the texts."""
+    texts, at = batch.column(column).to_pylist(), 0
+    while at < len(texts):
+        to, chars = at, 0
+        while to < len(texts) and (to == at or chars < most):
+            chars += len(texts[to] or "")
+            to += 1
+        yield at, texts[at:to]
+        at = to
 
-    def out() -> pa.RecordBatch:
-        h = np.frombuffer(b"".join(xxhash.xxh3_64_digest(w) for w in total), ">i8").astype(np.int64)
-        made = pa.RecordBatch.from_arrays([pa.array(h), pa.array(list(total.values()), pa.int64())], ["h", "c"])
-        total.clear()
-        return made
 
+def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of tokens with counts; partial: what a worker holds is bounded."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
-        for t in batch.column(0).to_pylist():
-            total.update((t or "").encode().lower().split())
-            total[END] += 1
-            if len(total) > 500_000:
-                yield out()
-    if total:
-        yield out()
+        for _, texts in _texts(batch, 0):
+            held.append(np.unique(tokens_of(texts)[0], return_counts=True))
+            if sum(len(h) for h, _ in held) > 2_000_000:
+                yield _summed(held)
+                held = []
+    if held:
+        yield _summed(held)
+
+
+def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    h, where = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+    c = np.bincount(where, weights=np.concatenate([c for _, c in held]), minlength=len(h)).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(h), pa.array(c)], ["h", "c"])
 
 
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as stretches of classes, two bytes each."""
     for batch in batches:
-        texts, at = batch.column(0).to_pylist(), 0
-        while at < len(texts):
-            part = texts[at : at + 500]
-            at += 500
-            flat, sizes, kinds = tokens_of(part)
-            seq = class_of(kinds)[flat].astype("<u2")
+        for _, part in _texts(batch, 0):
+            flat, sizes = tokens_of(part)
+            seq = class_of(flat).astype("<u2")
             rows = [seq[i : min(i + STRETCH, e)].tobytes() for e, n in zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True) for i in range(e - n, e, STRETCH)]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["seq"])
 
@@ -200,10 +188,10 @@ def _adding(key, pdf):
     return pd.DataFrame({"state": [int(key[0])], "first": [pdf["first"].sum()], "moves": [add("moves")], "emit": [add("emit")], "like": [pdf["like"].sum()]})
 
 
-def train(texts: DataFrame, mass: np.ndarray, stash: Stash, states: int = STATES, passes: int = PASSES) -> tuple[Model, list[float]]:
+def train(texts: DataFrame, mass: np.ndarray, stash: Stash, states: int = STATES, passes: int = PASSES, stay: float = STAY) -> tuple[Model, list[float]]:
     """Baum-Welch over all texts; mass: the unigram probability of each class. Also the log-likelihood (over the base) at each pass."""
     spark = texts.sparkSession
-    model, likes = first_model(mass, states), []
+    model, likes = first_model(mass, states, stay), []
     seqs = stash.keep(texts.select("text").mapInArrow(_sequences, "seq binary"), "sequences")
     for _ in range(passes):
         now = spark.sparkContext.broadcast(model)
@@ -220,7 +208,7 @@ def train(texts: DataFrame, mass: np.ndarray, stash: Stash, states: int = STATES
     return model, likes
 
 
-def score(docs: DataFrame, training: DataFrame, stash: Stash | None = None, states: int = STATES, passes: int = PASSES) -> DataFrame:
+def score(docs: DataFrame, training: DataFrame, stash: Stash | None = None, states: int = STATES, passes: int = PASSES, stay: float = STAY) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are words with A-Z lower-cased and one end for each text; null texts are empty and have the end alone. With no training
@@ -235,7 +223,7 @@ def score(docs: DataFrame, training: DataFrame, stash: Stash | None = None, stat
     mass = np.zeros(CLASSES)
     for r in vocabulary.groupBy(F.col("h").bitwiseAND(F.lit(CLASSES - 1)).alias("k")).agg(F.sum(F.col("c") + 0.5).alias("m")).collect():  # CLASSES rows at most
         mass[r.k] = r.m / below
-    model, _ = train(training, mass, stash, states, passes) if n else (Model(np.ones(1), np.ones((1, 1)), np.ones((1, CLASSES))), [])
+    model, _ = train(training, mass, stash, states, passes, stay) if n else (Model(np.ones(1), np.ones((1, 1)), np.ones((1, CLASSES))), [])
     often = vocabulary.where(F.col("c") * FREQUENT >= n).orderBy("h").toArrow()
     often = spark.sparkContext.broadcast((often.column("h").to_numpy(), often.column("c").to_numpy()))
     states_ = spark.sparkContext.broadcast(model)
@@ -262,17 +250,11 @@ def _looking_up(table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = table.value
         for batch in batches:
-            ids, texts, at = batch.column(0), batch.column(1).to_pylist(), 0
-            while at < len(texts):
-                to, chars = at, 0
-                while to < len(texts) and (to == at or chars < 8_000_000):
-                    chars += len(texts[to] or "")
-                    to += 1
-                flat, sizes, kinds = tokens_of(texts[at:to])
-                used, inv = np.unique(flat, return_inverse=True)
-                h = kinds[used]
+            for at, texts in _texts(batch, 1):
+                flat, sizes = tokens_of(texts)
+                h, inv = np.unique(flat, return_inverse=True)
                 spot = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
-                hit = keys[spot] == h if len(keys) else np.zeros(len(used), bool)
+                hit = keys[spot] == h if len(keys) else np.zeros(len(h), bool)
                 logs = np.where(hit, np.log10((counts[spot] if len(keys) else 0) + 0.5), 0.0)
                 ends = np.cumsum(sizes)
                 starts = ends - sizes
@@ -280,15 +262,14 @@ def _looking_up(table):
                 seq = class_of(h)[inv].astype("<u2").tobytes()
                 rare = np.flatnonzero(~hit[inv])
                 doc = np.searchsorted(ends, rare, side="right")
-                pair, which, times = np.unique(doc * len(used) + inv[rare], return_inverse=True, return_counts=True)
-                own, word = pair // max(1, len(used)), pair % max(1, len(used))
+                pair, which, times = np.unique(doc * len(h) + inv[rare], return_inverse=True, return_counts=True)
+                own, word = pair // max(1, len(h)), pair % max(1, len(h))
                 bounds, cuts = np.searchsorted(own, np.arange(len(sizes) + 1)), np.searchsorted(doc, np.arange(len(sizes) + 1))
                 spots, which = (rare - starts[doc]).astype("<i4"), (which - bounds[doc]).astype("<i4")
                 parts = lambda x, cuts=cuts: pa.array([x[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
                 lists = [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(x)) for x in (h[word], times.astype(np.int32))]
                 seqs = pa.array([seq[2 * a : 2 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([ids.slice(at, to - at), pa.array(sizes), pa.array(n_hit), pa.array(base), seqs, parts(spots), parts(which), *lists], ["doc_id", "n_tokens", "n_hit", "base", "seq", "spots", "which", "h", "times"])
-                at = to
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(sizes), pa.array(n_hit), pa.array(base), seqs, parts(spots), parts(which), *lists], ["doc_id", "n_tokens", "n_hit", "base", "seq", "spots", "which", "h", "times"])
 
     return run
 

@@ -35,10 +35,11 @@ def letters() -> np.ndarray:
 
 
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-case code points of all texts, two zeros behind each, and each text's number of them with the zeros; 0 for what isn't a letter."""
+    """Lower-case code points of all texts, a zero before and behind each, 0 for what isn't a letter; and each text's number of them,
+    the zeros included. Four more zeros end the whole."""
     parts = [np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
-    gap = np.zeros(2, np.uint32)
-    flat = np.concatenate([x for p in parts for x in (p, gap)]) if parts else gap[:0]
+    gap = np.zeros(1, np.uint32)
+    flat = np.concatenate([*(x for p in parts for x in (gap, p, gap)), np.zeros(4, np.uint32)])
     return np.where(letters()[flat], flat, 0).astype(np.uint32), np.array([len(p) + 2 for p in parts], np.int64)
 
 
@@ -63,11 +64,10 @@ def sums(table: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     starts = np.cumsum(sizes) - sizes
     total, number = np.zeros((len(texts), table.shape[1])), np.zeros(len(texts))
     for b, ok in buckets(flat):
-        at = np.minimum(starts, len(b) - 1)
         rows = table[b]
         rows[~ok] = 0
-        total += np.add.reduceat(rows, at, axis=0, dtype=np.float64)
-        number += np.add.reduceat(ok.astype(np.int64), at)
+        total += np.add.reduceat(rows, starts, axis=0, dtype=np.float64)
+        number += np.add.reduceat(ok.astype(np.int64), starts)
     return total, number
 
 

@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import SMALL_ROWS, Stash, components, read, ship
+from .wordhash import mixed, word_hashes
 
 COORDINATES = 64
 #: Matches asked for miss a pair just at the threshold with at most this probability.
 MISS = 1e-5
 #: Rounds of comparing with the most central document; members of a posting in one block of the comparison that follows.
 ROUNDS, BLOCK = 3, 1024
-MOST_WORDS = 2_000_000
 _rng = np.random.default_rng(20240229)
 MULTIPLY = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64)
@@ -44,22 +44,9 @@ def matches_for(similarity: float, coordinates: int = COORDINATES, miss: float =
     return coordinates
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MOST_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_words = _Words()
-
-
 def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     """Sorted 64-bit hashes of each text's distinct shingles. Words are split and A-Z lower-cased as bytes; fewer words than width are one shingle."""
-    rows = [(t or "").encode().lower().split() for t in texts]
-    n = np.array([len(r) for r in rows], np.int64)
-    flat = np.fromiter((_words[w] for r in rows for w in r), np.uint64, int(n.sum()))
+    flat, n = word_hashes(texts)
     rolled = mixed(sum((flat[k : len(flat) - width + 1 + k] * PLACES[k] for k in range(width)), np.zeros(max(0, len(flat) - width + 1), np.uint64))) if len(flat) >= width else np.zeros(0, np.uint64)
     out, at = [], 0
     for size in n.tolist():
@@ -73,11 +60,6 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     return out
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
-
-
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """One row of COORDINATES for each set that isn't empty."""
     out, at = np.empty((len(sets), COORDINATES), np.uint32), 0
@@ -94,7 +76,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _in_parts(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[tuple[list, list]]:
+def _in_parts(batch: pa.RecordBatch, most: int = 1_000_000) -> Iterator[tuple[list, list]]:
     ids, texts, at = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0
     while at < len(ids):
         to, chars = at, 0
@@ -170,21 +152,22 @@ def _blocks(least: int, num: int, den: int):
     """Pairs of two blocks of a posting that lie in different components, may be similar by size and agree in enough coordinates."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        if not len(right):
-            right = left
-        sigs = [np.frombuffer(b"".join(p.sig), "<u4").reshape(-1, COORDINATES) for p in (left, right)]
-        a, b = [], []
-        for i in range(len(left)):
-            row = left.iloc[i]
-            n = right.n.to_numpy()
-            near = (right.component.to_numpy() != row.component) & (den * np.minimum(n, row.n) >= num * np.maximum(n, row.n))
-            at = np.flatnonzero(near)
-            if len(at):
-                at = at[(sigs[1][at] == sigs[0][i]).sum(axis=1) >= least]
-                a += [row.rep] * len(at)
-                b += right.rep.to_numpy()[at].tolist()
-        return pd.DataFrame({"a": np.minimum(a, b).astype(np.int64), "b": np.maximum(a, b).astype(np.int64)}).drop_duplicates() if a else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        side = pdf["side"].to_numpy()
+        one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        two = two if len(two) else one
+        rep, n, at = pdf["rep"].to_numpy(), pdf["n"].to_numpy(), pdf["component"].to_numpy()
+        sig = np.frombuffer(b"".join(pdf["sig"]), "<u4").reshape(-1, COORDINATES)
+        right, found = np.ascontiguousarray(sig[two].T), []
+        for i in range(0, len(one), 64):
+            part = one[i : i + 64]
+            alike = np.zeros((len(part), len(two)), np.uint8)
+            for k in range(COORDINATES):
+                alike += sig[part, k][:, None] == right[k]
+            near = (alike >= least) & (at[part][:, None] != at[two]) & (den * np.minimum(n[part][:, None], n[two]) >= num * np.maximum(n[part][:, None], n[two]))
+            a, b = np.nonzero(near)
+            found.append((rep[part[a]], rep[two[b]]))
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
     return run
 
@@ -239,7 +222,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     def placed(found: DataFrame) -> DataFrame:
         return buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("post", "rep", "n", "central", F.coalesce("component", "rep").alias("component"))
 
-    links, found, tried = None, spark.createDataFrame([], "node long, component long"), None
+    found, tried = spark.createDataFrame([], "node long, component long"), None
     alike = (den * F.least("n", "m") >= num * F.greatest("n", "m")) & (F.col("rep") != F.col("pivot"))
     for r in range(ROUNDS + 1):
         here = stash.keep(placed(found), f"placed{r}")
@@ -263,9 +246,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
             dealt = open_.select("*", own.alias("own")).select("*", other.alias("other")).select("post", "rep", "n", "component", "sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
             pairs = dealt.groupBy("post", "i", "j").applyInPandas(_blocks(least, num, den), "a long, b long")
         new = confirm(pairs, f"round{r}")
-        links = new if links is None else links.unionAll(new)
-        if r < ROUNDS or not new.isEmpty():
-            found = components(stash, links, f"round{r}")
+        if not new.isEmpty():
+            # What is known stands as one edge from each node to its component.
+            found = components(stash, new.unionAll(found.select(F.col("node").alias("a"), F.col("component").alias("b"))), f"round{r}")
     ends = found.select(F.col("node").alias("rep"), "component")
     done = members.drop("sig").join(ends, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     return done.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

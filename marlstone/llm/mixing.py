@@ -132,10 +132,11 @@ class Mix:
 
     def repeated(self, docs: DataFrame) -> DataFrame:
         """docs, each row as often as it has copies. The decisions are looked up by source and cell, so texts stay where they are read."""
-        done = join_small(self._celled(sized(docs)), self.extra, ["_key", "_class", "_bin"])
+        held = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+        held = sized(held).drop("source", "text")
+        done = join_small(self._celled(held), self.extra, ["_key", "_class", "_bin"])
         copies = (F.col("_sure") + F.coalesce("_extra", F.lit(0))).cast("int")
-        own = [F.col(f"`{c}`") for c in docs.columns]
-        return done.select(*own, F.explode(F.array_repeat(F.lit(1), copies)).alias("_copy")).select(*own)
+        return done.select("_doc", F.explode(F.array_repeat(F.lit(1), copies))).select("_doc.*")
 
 
 def mixture(docs: DataFrame, stash: Stash | None = None) -> DataFrame:

@@ -158,7 +158,7 @@ def vector_links(vectors: DataFrame, least: float = 0.93, stash: Stash | None =
     classes = stash.keep(able.groupBy("label", "dim", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")), "classes")
     many = classes.where("m > 1")
     keys = ["label", "dim", "h1", "h2"]
-    members = stash.keep(whole.join(many, keys, "left").select("vec_id", *keys, "unit", F.when(F.col("dim").isNotNull(), F.coalesce("rep", "vec_id")).alias("rep"), F.coalesce("m", F.lit(1)).alias("m")), "members")
+    members = stash.keep(whole.join(many, keys, "left").select("vec_id", *keys, "unit", F.when(F.col("dim").isNotNull() & F.col("vec_id").isNotNull(), F.coalesce("rep", "vec_id")).alias("rep"), F.when(F.col("vec_id").isNotNull(), F.coalesce("m", F.lit(1))).otherwise(1).alias("m")), "members")
     reps = members.where("vec_id = rep").select("rep", "label", "dim", "m", "unit")
     total = classes.groupBy("dim").count().collect()  # dimensions of vectors: a few
     model = {}

@@ -101,24 +101,25 @@ def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str = "lef
     if right.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
         return left.join(F.broadcast(right), on, how)
     salt = F.pmod(F.xxhash64(*[c for c in left.columns if c not in on] or on), F.lit(salts))
-    many = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+    many = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return left.withColumn("_salt", salt.cast("long")).join(many, [*on, "_salt"], how).drop("_salt")
 
 
 def components(stash: Stash, edges: DataFrame, name: str) -> DataFrame:
     """(node, component) of an undirected graph given as (a, b): component is the smallest id that a node reaches.
 
-    Each round every node points to the neighbour (or itself) with the least hash of the round, and the graph is contracted along
-    these pointers; nodes fall by a constant factor a round whatever the shape, stars and chains included. Rounds end in
-    written tables, so joins start from fresh exchanges, which adaptive execution can split where a hub is hot."""
+    Each round every node points to the one of most neighbours among its neighbours and itself, of those to the one with the least hash of
+    the round, and the graph is contracted along these pointers: a star falls to its hub in one round, a chain by a constant factor.
+    Rounds end in written tables, so joins start from fresh exchanges, which adaptive execution can split where a hub is hot."""
     edges = stash.keep(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges0")
     chain, r = None, 0
     while not edges.isEmpty():
-        rank = lambda c, r=r: F.xxhash64(c, F.lit(r))
-        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = both.groupBy("a").agg(F.min(F.struct(rank(F.col("b")).alias("h"), F.col("b").alias("id"))).alias("m"))
-        step = near.select(F.col("a").alias("node"), F.least(F.struct(rank(F.col("a")).alias("h"), F.col("a").alias("id")), "m")["id"].alias("to"))
-        step = stash.keep(step, f"{name}-step{r}")
+        degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
+        degree = stash.keep(degree, f"{name}-degree{r}")
+        known = edges.join(degree.select(F.col("node").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("node").alias("b"), F.col("d").alias("db")), "b")
+        rank = lambda c, d, r=r: F.struct((-F.col(d)).alias("d"), F.xxhash64(c, F.lit(r)).alias("h"), F.col(c).alias("id"))
+        seen = known.select(F.explode(F.array("a", "b")).alias("node"), F.least(rank("a", "da"), rank("b", "db")).alias("top"))
+        step = stash.keep(seen.groupBy("node").agg(F.min("top").alias("top")).select("node", F.col("top.id").alias("to")), f"{name}-step{r}")
         to_a, to_b = (step.select(F.col("node").alias(c), F.col("to").alias(f"to_{c}")) for c in "ab")
         moved = edges.join(to_a, "a").join(to_b, "b").where("to_a <> to_b")
         edges = stash.keep(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), f"{name}-edges{r + 1}")

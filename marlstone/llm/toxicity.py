@@ -33,23 +33,36 @@ HOMOGLYPHS = {"а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h",
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i"}
 
 WORDS = re.compile(r"[^\W_]+(?:[@$!|](?=[^\W_])[^\W_]*)*|[@$!|][^\W_]+")
-MIXED = re.compile(r"(?=\S*[a-z])\S*[0-9@$!|]\S*")
+SIGN = re.compile(r"[0-9@$!|]")
+LETTER = re.compile(r"[a-z]")
 ODD = re.compile(r"[^\x00-\x7f\xc0-\xff]")
 #: Never visible: soft hyphen, zero-width space and joiners, byte-order mark.
 HIDDEN = dict.fromkeys((0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF))
 _glyphs, _digits = str.maketrans(HOMOGLYPHS), str.maketrans(DIGITS)
 
 
-def _mixed(m: re.Match) -> str:
-    return m[0][:1].translate(_digits) + m[0][1:-1].translate(_digits) + (m[0][-1:] if m[0][-1:] in "!|" else m[0][-1:].translate(_digits))
-
-
 def fold(text: str) -> str:
     """Lower case, homoglyphs replaced; digits and signs replaced in words that also have a letter. Letters with accents stay."""
     text = text.lower()
     if ODD.search(text):
         text = unicodedata.normalize("NFKC", text).translate(HIDDEN).translate(_glyphs)
-    return MIXED.sub(_mixed, text)
+    out, last = [], 0
+    for m in SIGN.finditer(text):
+        at = m.start()
+        if at < last:
+            continue
+        a, b = at, at + 1
+        while a > last and not text[a - 1].isspace():
+            a -= 1
+        while b < len(text) and not text[b].isspace():
+            b += 1
+        word = text[a:b]
+        if LETTER.search(word):
+            tail = len(word) - len(word.rstrip("!|"))  # at a word's end these are marks
+            word = word[: len(word) - tail].translate(_digits) + word[len(word) - tail :]
+        out += [text[last:a], word]
+        last = b
+    return "".join([*out, text[last:]]) if out else text
 
 
 def words(folded: str) -> list[str]:
@@ -214,7 +227,7 @@ def fit_lexicon(labelled: DataFrame) -> Lexicon:
 
 
 def toxicity(docs: DataFrame, labelled: DataFrame, stash: Stash | None = None) -> DataFrame:
-    """All columns of docs and toxic_score, 0 to 1. Null texts count as empty; scores depend on the text alone.
+    """All columns of docs and last a score, 0 to 1: toxic_score, with underscores behind if docs has that name. Null texts count as empty; scores depend on the text alone.
 
     With no labels, or one kind of label only, there is no lexicon and all scores are the same."""
     spark = docs.sparkSession
@@ -223,6 +236,8 @@ def toxicity(docs: DataFrame, labelled: DataFrame, stash: Stash | None = None) -
     lexicon = spark.sparkContext.broadcast(fit_lexicon(stash.keep(labelled.select("text", "toxic"), "labelled")))
     stash.drop("labelled")
     name, at = "toxic_score", docs.columns.index("text")
+    while name in map(str.lower, docs.columns):
+        name += "_"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
