@@ -76,7 +76,9 @@ def exact_double_sum(df: DataFrame, keys: list[str], value: str, out: str) -> Da
     from pyspark.sql.types import ArrayType, DoubleType, StructType
 
     from ..functions.exact import expansions, rounded
+    from ..runtime import ship
 
+    ship(df.sparkSession)
     types = StructType([df.schema[k] for k in keys])
     partial = df.select(*keys, F.col(value).cast("double").alias("_v")).mapInPandas(expansions(keys), StructType([*types.fields]).add("_parts", ArrayType(DoubleType())))
     return partial.groupBy(*keys).applyInPandas(rounded(keys, out), StructType([*types.fields]).add(out, DoubleType()))
