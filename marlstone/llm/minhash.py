@@ -27,7 +27,7 @@ COORDINATES = 64
 #: Matches asked for miss a pair just at the threshold with at most this probability.
 MISS = 1e-5
 #: Rounds of comparing with the most central document; members of a posting in one block of the comparison that follows.
-ROUNDS, BLOCK = 3, 1024
+ROUNDS, BLOCK = 2, 1024
 _rng = np.random.default_rng(20240229)
 MULTIPLY = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64)
@@ -215,7 +215,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     def confirm(pairs: DataFrame, name: str) -> DataFrame:
         pairs = stash.keep(pairs.select("a", "b").distinct(), f"pairs-{name}")
         agree = pairs.join(side(sigs, "sig", "a"), "a").join(side(sigs, "sig", "b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_agreeing(least), "a long, b long")
-        agree = stash.keep(agree, f"agree-{name}")
         full = agree.join(side(sets, "shingles", "a"), "a").join(side(sets, "shingles", "b"), "b").select("a", "b", "shingles_a", "shingles_b")
         return stash.keep(full.mapInArrow(_confirmed(num, den), "a long, b long").distinct(), f"links-{name}")
 
