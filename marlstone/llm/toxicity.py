@@ -146,6 +146,13 @@ def learn(rows: list[tuple[str, int]]) -> Lexicon:
     odds = lambda e: math.log((toxic[e] + 0.1) / (n1 + 1)) - math.log((clean[e] + 0.1) / (n0 + 1))
     # Entries by how many toxic texts they explain that better ones don't: a copy of one text gives many words, but explains one case.
     able = {e: o for e, k in toxic.items() if k >= (LEAST_TEXTS if n1 >= FEW_TEXTS else 3) and (o := odds(e)) >= LEAST_ODDS}
+    # A beginning that mostly begins one and the same word says no more than the word, and less exactly.
+    one_word: Counter = Counter()
+    for e in able:
+        if not e.endswith("*"):
+            for n in BEGINNINGS:
+                one_word[e[:n] + "*"] = max(one_word[e[:n] + "*"], toxic[e])
+    able = {e: o for e, o in able.items() if not e.endswith("*") or one_word[e] < 0.8 * toxic[e]}
     holds: dict[str, list[int]] = {e: [] for e in able}
     for i, (own, y) in enumerate(texts):
         if y:
