@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .shared import Stash, fold_of, read, ship
 
 #: The training sample: at most so many labelled texts of either label, so many characters of each.
-SAMPLE_EACH, SAMPLE_CHARS = 6_000, 20_000
+SAMPLE_EACH, SAMPLE_CHARS = 4_000, 20_000
 #: An entry is in at least so many toxic texts (3 if there are few), with so much log-odds; so many entries at most; beginnings have these lengths.
 LEAST_TEXTS, FEW_TEXTS, LEAST_ODDS, ENTRIES, BEGINNINGS = 5, 300, 3.0, 4_000, (4, 5, 6, 7, 8)
 LEAST_EXCEPTIONS = 3
@@ -131,7 +132,7 @@ class Lexicon:
 
 def learn(rows: list[tuple[str, int]]) -> Lexicon:
     """rows: (text, 0 or 1)."""
-    texts = [(words(fold(t)), y) for t, y in rows]
+    texts = [([*map(sys.intern, words(fold(t)))], y) for t, y in rows]  # one copy of each word
     n1 = sum(y for _, y in texts)
     n0 = len(texts) - n1
     if not n1 or not n0:
