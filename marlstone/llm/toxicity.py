@@ -24,8 +24,8 @@ from .shared import Stash, fold_of, read, ship
 
 #: The training sample: at most so many labelled texts of either label, so many characters of each.
 SAMPLE_EACH, SAMPLE_CHARS = 4_000, 20_000
-#: An entry is in at least so many toxic texts (3 if there are few), with so much log-odds; so many entries at most; beginnings have these lengths.
-LEAST_TEXTS, FEW_TEXTS, LEAST_ODDS, ENTRIES, BEGINNINGS = 5, 300, 3.0, 4_000, (4, 5, 6, 7, 8)
+#: An entry is in at least so many toxic texts, and one in SHARE of them (3 if there are few), with so much log-odds; so many entries at most; beginnings have these lengths.
+LEAST_TEXTS, SHARE, FEW_TEXTS, LEAST_ODDS, ENTRIES, BEGINNINGS = 5, 300, 300, 3.0, 4_000, (4, 5, 6, 7, 8)
 LEAST_EXCEPTIONS = 3
 THRESHOLD = 0.7
 
@@ -132,6 +132,7 @@ class Lexicon:
 
 def learn(rows: list[tuple[str, int]]) -> Lexicon:
     """rows: (text, 0 or 1)."""
+    rows = list(dict.fromkeys(rows))  # copies of a text are one case
     texts = [([*map(sys.intern, words(fold(t)))], y) for t, y in rows]  # one copy of each word
     n1 = sum(y for _, y in texts)
     n0 = len(texts) - n1
@@ -146,7 +147,8 @@ def learn(rows: list[tuple[str, int]]) -> Lexicon:
         (toxic if y else clean).update(kinds)
     odds = lambda e: math.log((toxic[e] + 0.1) / (n1 + 1)) - math.log((clean[e] + 0.1) / (n0 + 1))
     # Entries by how many toxic texts they explain that better ones don't: a copy of one text gives many words, but explains one case.
-    able = {e: o for e, k in toxic.items() if k >= (LEAST_TEXTS if n1 >= FEW_TEXTS else 3) and (o := odds(e)) >= LEAST_ODDS}
+    least = max(LEAST_TEXTS, n1 // SHARE) if n1 >= FEW_TEXTS else 3
+    able = {e: o for e, k in toxic.items() if k >= least and (o := odds(e)) >= LEAST_ODDS}
     # A beginning that mostly begins one and the same word says no more than the word, and less exactly.
     one_word: Counter = Counter()
     for e in able:
@@ -170,7 +172,7 @@ def learn(rows: list[tuple[str, int]]) -> Lexicon:
                 kept.append(e)
                 continue
             own = sum(i not in explained for i in holds[e])
-            if own < 3:
+            if own < max(3, n1 // SHARE):
                 continue
             kept.append(e)
             if own > gain or own == gain and best is not None and (able[e], e) > (able[best], best):
