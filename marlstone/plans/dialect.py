@@ -93,7 +93,7 @@ def spark_sql(text: str) -> str:
             p = "="
         out.append(p)
     out = _lambdas(_comprehensions(_brackets(out)))
-    out = _operators(out)
+    out = _operators(_reduced(out))
     out = _nulls_last(_distinct_on(_qualify(out)))
     return " ".join(out)
 
@@ -212,6 +212,19 @@ def _operators(parts: list[str]) -> list[str]:
     return out
 
 
+def _reduced(parts: list[str]) -> list[str]:
+    """list_reduce(l, f) starts from the list's first element; an empty list is refused, null stays null."""
+    out = list(parts)
+    while (at := next((i for i, p in enumerate(out[:-1]) if p.lower() == "list_reduce" and out[i + 1] == "("), None)) is not None:
+        end = _close(out, at + 1)
+        given = _split(out[at + 2 : end])
+        one = ["(", *given[0], ")"]
+        first = given[2] if len(given) > 2 else ["element_at", "(", *one, ",", "1", ")"]
+        rest = one if len(given) > 2 else ["slice", "(", *one, ",", "2", ",", "greatest", "(", "size", "(", *one, ")", ",", "1", ")", ")"]
+        out[at : end + 1] = ["aggregate", "(", *rest, ",", *first, ",", *given[1], ")"]
+    return out
+
+
 def _clause(parts: list[str], at: int, ends: set[str]) -> int:
     """Where the clause that begins at that place ends: at a closing bracket, or at one of the words on its own level."""
     depth = 0

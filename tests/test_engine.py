@@ -44,6 +44,7 @@ def rows(df):
     ("WITH t AS MATERIALIZED (SELECT id FROM ev) SELECT count(*) AS c FROM t", [(4,)]),
     ("SELECT [x * 2 FOR x IN [id, 5] IF x > 2] AS l FROM ev WHERE id < 4", [([10],), ([10],), ([6, 10],)]),
     ("SELECT list_transform([id, 1], lambda x: x + 1) AS l FROM ev WHERE id = 1", [([2, 2],)]),
+    ("SELECT list_reduce([id, 2, 3], lambda a, x: a * 2 + x) AS r FROM ev WHERE id = 1", [(11,)]),
     ("SELECT [7, 8, 9][2] AS a, [7, 8][-1] AS b, [7][5] AS c", [(8, 8, None)]),
     ("SELECT substring('hello', 0, 2) AS a, substr('hello', -3, 2) AS b, split_part('a-b', '-', 0) AS c", [("h", "ll", "")]),
     ("SELECT 'it''s \\' AS t", [("it's \\",)]),
