@@ -55,7 +55,7 @@ def group_rows(seed, n, changes, size=60):
     return rows
 
 
-@pytest.mark.parametrize("changes", [1, 2, 3])
+@pytest.mark.parametrize("changes", [1, 3])
 def test_large_groups_and_common_passages(spark, changes, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 16)
     rows = group_rows(changes, 90, changes)
