@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
 from ..errors import LimitExceeded
+from ..runtime import shared_dir
 
 
 def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], most: int = 1000) -> DataFrame:
     """start and all rows that step makes of new rows, each once, until none is new. Every round's new rows are written to the
     shared folder, so plans don't grow and a lost executor repeats one round at most."""
     spark = start.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="marlstone-")
-    folder = f"{shared}/fixpoint-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/fixpoint-{uuid.uuid4().hex}"
 
     def kept(df: DataFrame, i: int) -> DataFrame:
         df.write.parquet(f"{folder}/{i}")

@@ -26,3 +26,14 @@ def ship(spark: SparkSession) -> None:
                 z.write(p, p.relative_to(root.parent))
         spark.sparkContext.addPyFile(str(target))
         _shipped.add(key)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; in a local session that sets none (tests), a temporary one of this process."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="marlstone-shared-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")

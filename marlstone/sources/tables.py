@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import math
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from datetime import date, datetime
@@ -14,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..errors import NotAllowed, PlanError
+from ..runtime import shared_dir
 
 #: Spark's types as DuckDB names them.
 NAMES = {"boolean": "BOOLEAN", "tinyint": "TINYINT", "smallint": "SMALLINT", "int": "INTEGER", "bigint": "BIGINT", "float": "FLOAT", "double": "DOUBLE", "string": "VARCHAR", "binary": "BLOB", "date": "DATE", "timestamp": "TIMESTAMP WITH TIME ZONE", "timestamp_ntz": "TIMESTAMP", "void": "NULL"}
@@ -38,14 +38,12 @@ class HostTables:
     def create_table_as(self, name: str, df: DataFrame) -> DataFrame:
         if name.lower() in self.tables:
             raise PlanError(f"table {name} exists")
-        self._note()
         self.tables[name.lower()] = df.persist()
         return df
 
     def drop_relation(self, name: str) -> None:
         if name.lower() not in self.tables:
             raise NotAllowed(f"no host table {name}")
-        self._note()
         del self.tables[name.lower()]
 
     def begin(self) -> None:
@@ -65,13 +63,9 @@ class HostTables:
             raise PlanError("no transaction is open")
         return self._undo
 
-    def _note(self) -> None:
-        """Frames are immutable and names are all that changes, so the map of names is what a rollback needs."""
-
     def write_parquet(self, df: DataFrame, path: str | None = None) -> str:
         if path is None:
-            shared = self.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="marlstone-host-")
-            path = f"{shared}/host-{uuid.uuid4().hex}"
+            path = f"{shared_dir(self.spark)}/host-{uuid.uuid4().hex}"
         df.write.parquet(path)
         return path
 
