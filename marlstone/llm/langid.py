@@ -144,14 +144,15 @@ def train(rows: list[tuple[str, str]], seed: int = 1) -> Model:
 def language(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, lang_pred, score, accepted.
 
-    labelled has text and lang; texts and languages that are null aren't learned from. lang_pred is the likeliest learned language,
+    labelled has doc_id, text and lang; texts and languages that are null aren't learned from. lang_pred is the likeliest learned language,
     und with score 0 for texts that are null or have no letter, and for all if nothing could be learned; accepted is whether the
     score reaches the calibrated rejection threshold. Empty tables give empty results; other columns are ignored."""
     spark = docs.sparkSession
     ship(spark)
-    # The sample: least hashes first, so reruns take the same, and the order has nothing to do with the data.
-    sample = labelled.where("text is not null and lang is not null").select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), "lang", F.xxhash64("text").alias("h")).orderBy("h", "lang").limit(SAMPLE_DOCS)
-    model = spark.sparkContext.broadcast(train([(r.text, r.lang) for r in sample.collect()]))
+    # The sample: doc_ids with the least hashes, so reruns take the same, its order has nothing to do with the data, and no other texts are moved.
+    drawn = labelled.where("lang is not null and doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    sample = labelled.where("text is not null and lang is not null").select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "lang").join(F.broadcast(drawn), "doc_id").select("text", "lang")
+    model = spark.sparkContext.broadcast(train(sorted((r.text, r.lang) for r in sample.collect())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Stash, fold_of, read, ship
+from .shared import fold_of, read, ship
 
 #: The training sample: at most so many labelled texts of either label, so many characters of each.
 SAMPLE_EACH, SAMPLE_CHARS = 4_000, 20_000
@@ -223,12 +223,16 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return tuple(float(b) if k else 0.0 for b, k in zip(beta, live, strict=True))
 
 
-def fit_lexicon(labelled: DataFrame) -> Lexicon:
-    """labelled: text, toxic; rows with a null label aren't learned from."""
-    known = labelled.where("toxic is not null").select(F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text"), (F.col("toxic") > 0).cast("int").alias("y")).withColumn("h", F.xxhash64("text"))
-    rows = [(r.text, r.y) for y in (0, 1) for r in known.where(F.col("y") == y).orderBy("h").limit(SAMPLE_EACH).collect()]
-    made = learn(rows)
+def fit_lexicon(texts: DataFrame, labels: DataFrame) -> Lexicon:
+    """texts: doc_id, text; labels: doc_id, toxic, of which null ones aren't learned from.
+
+    The sample is drawn from doc_ids alone, those with the least hashes of either label, so only the sample's texts are moved."""
+    known = labels.where("toxic is not null and doc_id is not null").select("doc_id", (F.col("toxic") > 0).cast("int").alias("y")).join(texts.select("doc_id"), "doc_id", "left_semi")
     n = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
+    drawn = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_EACH) for y in (0, 1)]
+    found = texts.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(drawn[0].unionAll(drawn[1])), "doc_id")
+    rows = sorted((r.text, r.y) for r in found.select("text", "y").collect())
+    made = learn(rows)
     if len(n) == 2:  # the sample has other shares of the labels than the rows it stands for
         sampled = {y: min(n[y], SAMPLE_EACH) for y in n}
         shift = math.log((n[1] / n[0]) / (sampled[1] / sampled[0]))
@@ -236,15 +240,13 @@ def fit_lexicon(labelled: DataFrame) -> Lexicon:
     return made
 
 
-def toxicity(docs: DataFrame, labelled: DataFrame, stash: Stash | None = None) -> DataFrame:
-    """All columns of docs and last a score, 0 to 1: toxic_score, with underscores behind if docs has that name. Null texts count as empty; scores depend on the text alone.
-
-    With no labels, or one kind of label only, there is no lexicon and all scores are the same."""
+def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """All columns of docs and last a score, 0 to 1: toxic_score, with underscores behind if docs has that name. Null texts count as
+    empty; scores depend on the text alone. labels: doc_id of docs, toxic. With no labels, or one kind of label only, there is
+    no lexicon and all scores are the same."""
     spark = docs.sparkSession
     ship(spark)
-    stash = stash or Stash(spark)
-    lexicon = spark.sparkContext.broadcast(fit_lexicon(stash.keep(labelled.select("text", "toxic"), "labelled")))
-    stash.drop("labelled")
+    lexicon = spark.sparkContext.broadcast(fit_lexicon(docs.select("doc_id", "text"), labels))
     name, at = "toxic_score", docs.columns.index("text")
     while name in map(str.lower, docs.columns):
         name += "_"
@@ -263,5 +265,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.coalesce(fold_of(F.col("doc_id"), 3) == 1, F.lit(False))
     labels = read(spark, sf_dir, "labels").select("doc_id", "toxic")
-    found = toxicity(docs, docs.where(~held).join(labels.where("toxic is not null"), "doc_id"))
+    found = toxicity(docs, labels.where(fold_of(F.col("doc_id"), 3) != 1))
     return found.select("doc_id", held.alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= THRESHOLD).cast("int").alias("predicted"))

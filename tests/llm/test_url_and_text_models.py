@@ -93,13 +93,19 @@ def test_toxicity_folds_and_exceptions():
 def test_toxicity_edge_cases(spark):
     docs = toxic_table(spark, toxic_rows())
     odd = table(spark, [(1, None), (2, ""), (3, "idiot " * 30_000), (4, "idiot"), (4, "idiot"), (None, "ka")])
-    found = toxicity.toxicity(odd, docs)
+    learned = odd.drop("toxic_score").select("doc_id", "text").where("false").unionAll(docs.select("doc_id", "text"))
+    lexicon = toxicity.fit_lexicon(learned, docs.select("doc_id", "toxic"))
+    assert lexicon.score(None) == lexicon.score("") < 0.3 and lexicon.score("idiot " * 30_000) > 0.7 and lexicon.score("ka") < 0.3
+    both = odd.unionByName(docs.selectExpr("doc_id + 5000 as doc_id", "text"), allowMissingColumns=True)
+    found = toxicity.toxicity(both, docs.selectExpr("doc_id + 5000 as doc_id", "toxic"))
     assert found.columns == [*odd.columns, "toxic_score_"]
-    scores = [r.toxic_score_ for r in found.collect()]
+    scores = sorted(((str(r.doc_id), r.toxic_score_) for r in found.collect() if r.doc_id is None or r.doc_id < 5000))
+    assert [d for d, _ in scores] == ["1", "2", "3", "4", "4", "None"]
+    scores = [x for _, x in scores]
     assert scores[0] == scores[1] < 0.3 and scores[2] > 0.7 and scores[3] == scores[4] > 0.7 and scores[5] < 0.3
     assert toxicity.toxicity(table(spark, []), docs).count() == 0
     for y in (0, 1, None):
-        one = toxicity.toxicity(odd, docs.selectExpr("doc_id", "text", f"cast({'null' if y is None else y} as int) as toxic")).collect()
+        one = toxicity.toxicity(odd, odd.selectExpr("doc_id", f"cast({'null' if y is None else y} as int) as toxic")).collect()
         assert len({r.toxic_score_ for r in one}) == 1
 
 
