@@ -22,7 +22,7 @@ from .shared import Stash, read, ship
 from .tokens import encoded
 
 BLOCK, MAGIC, TAIL = 4096, b"MTOK1\0\0\0", struct.Struct("<8sqqqqq")
-TOKENS_PER_FILE = 4_000_000
+DOCS_PER_FILE = 5_000
 NULL_DOC = -(1 << 63)
 
 
@@ -102,45 +102,48 @@ class Reader:
         return np.concatenate(parts)[start - first * self.block :][:n]
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end: int, stash: Stash, tokens_per_file: int = TOKENS_PER_FILE) -> tuple[str, list[tuple[int, int]]]:
-    """Writes all documents in ascending doc_id order; the folder, and (file number, ids in it) in order. Null texts have the end id alone."""
+def write_tokens(docs: DataFrame, tokenizer: str, end: int, stash: Stash, docs_per_file: int = DOCS_PER_FILE) -> tuple[str, list[tuple[int, int]]]:
+    """Writes all documents in ascending doc_id order; the folder, and (file number, ids in it) in order. Null texts have the end id alone.
+
+    The ranges of doc_id that files hold come from the column of doc_ids alone. Tasks encode what they read and send each document's
+    ids, two or four bytes each, to the task of its range, so texts aren't shuffled and each is encoded once."""
     spark = docs.sparkSession
     ship(spark)
     from tokenizers import Tokenizer
 
     bits = bits_for(max(Tokenizer.from_file(tokenizer).get_vocab_size(), end + 1))
+    kind, folder = "<u2" if bits <= 16 else "<u4", f"{stash.path}/tokens"
+    files = max(1, -(-docs.count() // docs_per_file))
+    ranged = docs.select("doc_id").repartitionByRange(files, "doc_id").groupBy(F.spark_partition_id().alias("p")).agg(F.max("doc_id").alias("last"))
+    lasts = np.array(sorted(r["last"] for r in ranged.collect() if r["last"] is not None), np.int64)  # one for each file
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, flat, n in encoded(batches, tokenizer, end):
-            data, ends = flat.astype("<u2" if bits <= 16 else "<u4"), np.cumsum(n)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array([p.tobytes() for p in np.split(data, ends[:-1])], pa.binary())], ["doc_id", "n", "data"])
-
-    coded = stash.keep(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(encode, "doc_id long, n long, data binary"), "coded")
-    files = max(1, -(-(coded.agg(F.sum("n")).first()[0] or 0) // tokens_per_file))
-    folder = f"{stash.path}/tokens"
+            part = np.searchsorted(lasts[:-1], np.array([NULL_DOC if i is None else i for i in ids], np.int64)).astype(np.int32)
+            data = [p.tobytes() for p in np.split(flat.astype(kind), np.cumsum(n)[:-1])]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(ids, pa.int64()), pa.array(data, pa.binary())], ["part", "doc_id", "data"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow.fs import FileSystem
-        from pyspark import TaskContext
 
-        part, made = TaskContext.get().partitionId(), None
+        made = None
         fs, root = FileSystem.from_uri(folder)
         for batch in batches:
-            for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for part, doc, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if made is None:
                     fs.create_dir(root, recursive=True)
-                    temp = f"{root}/.{part}-{uuid.uuid4().hex}"
+                    number, temp = part, f"{root}/.{part}-{uuid.uuid4().hex}"
                     made = Writer(fs.open_output_stream(temp), bits)
-                made.add(NULL_DOC if doc is None else doc, np.frombuffer(data, "<u2" if bits <= 16 else "<u4"))
+                made.add(NULL_DOC if doc is None else doc, np.frombuffer(data, kind))
         if made is not None:
             made.finish()
             made.sink.close()
-            fs.move(temp, f"{root}/{part:06d}.mtok")
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([sum(made.sizes)], pa.int64())], ["part", "n"])
+            fs.move(temp, f"{root}/{number:06d}.mtok")
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sum(made.sizes)], pa.int64())], ["part", "n"])
 
-    dealt = coded.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "n", "data").select("doc_id", "data")
+    coded = docs.select("doc_id", "text").mapInArrow(encode, "part int, doc_id long, data binary")
+    dealt = coded.repartitionById(max(1, len(lasts)), "part").sortWithinPartitions("doc_id", "data")
     done = stash.keep(dealt.mapInArrow(write, "part long, n long"), "files")
-    stash.drop("coded")
     return folder, sorted((r.part, r.n) for r in done.collect())
 
 
@@ -173,13 +176,13 @@ def read_tokens(spark: SparkSession, folder: str, files: list[tuple[int, int]])
     return numbers.mapInArrow(scan, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_file_round_trip(docs: DataFrame, tokenizer: str, end: int, stash: Stash | None = None, tokens_per_file: int = TOKENS_PER_FILE) -> DataFrame:
+def token_file_round_trip(docs: DataFrame, tokenizer: str, end: int, stash: Stash | None = None, docs_per_file: int = DOCS_PER_FILE) -> DataFrame:
     """Encodes, writes and reads back: doc_id, start, n_tokens, ids_crc32, one row per row of docs.
 
     Null and empty texts have the end id alone; a null doc_id sorts first; rows that repeat a doc_id stay separate rows; an empty
     table writes no file and gives no rows; other columns are ignored."""
     stash = stash or Stash(docs.sparkSession)
-    return read_tokens(docs.sparkSession, *write_tokens(docs, tokenizer, end, stash, tokens_per_file))
+    return read_tokens(docs.sparkSession, *write_tokens(docs, tokenizer, end, stash, docs_per_file))
 
 
 def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:

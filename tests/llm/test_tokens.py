@@ -68,9 +68,9 @@ def test_random_access(bits):
 
 def test_files_against_the_library(spark, plain):
     rows = corpus() + [(400 + i, t) for i, t in enumerate(ODD)] + [(7, "again"), (None, "first")]
-    found = tokenfile.token_file_round_trip(table(spark, rows), PATH, 2, tokens_per_file=3000)
+    found = tokenfile.token_file_round_trip(table(spark, rows), PATH, 2, docs_per_file=20)
     want, at = [], 0
-    for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, len(plain(r[1])))):
+    for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, np.array([*plain(r[1]), 2], "<u2").tobytes())):
         ids = [*plain(text), 2]
         want.append((doc, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
