@@ -149,25 +149,50 @@ def _confirmed(num: int, den: int):
 
 
 def _blocks(least: int, num: int, den: int):
-    """Pairs of two blocks of a posting that lie in different components, may be similar by size and agree in enough coordinates."""
+    """Links between two blocks of a posting, of documents in different components: pairs that may be similar by size and agree in
+    enough coordinates are confirmed on their sets. A pair belongs to the first posting that both have, so no other task tries it,
+    and pairs that links found here already connect are passed over; links are fewer than documents."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         side = pdf["side"].to_numpy()
         one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         two = two if len(two) else one
-        rep, n, at = pdf["rep"].to_numpy(), pdf["n"].to_numpy(), pdf["component"].to_numpy()
+        rep, n, at, post = pdf["rep"].to_numpy(), pdf["n"].to_numpy(), pdf["component"].to_numpy(), int(pdf["post"].iloc[0])
         sig = np.frombuffer(b"".join(pdf["sig"]), "<u4").reshape(-1, COORDINATES)
-        right, found = np.ascontiguousarray(sig[two].T), []
+        sets = [np.frombuffer(x, "<u8") for x in pdf["shingles"]]
+        width = max(map(len, pdf["posts"]))
+        posts = np.stack([np.pad(np.asarray(x, np.int64), (0, width - len(x)), constant_values=-1 - i) for i, x in enumerate(pdf["posts"])])
+        right, parent, found = np.ascontiguousarray(sig[two].T), {}, []
+
+        def root(c: int) -> int:
+            while (up := parent.get(c, c)) != c:
+                parent[c] = parent.get(up, up)
+                c = up
+            return c
+
         for i in range(0, len(one), 64):
             part = one[i : i + 64]
             alike = np.zeros((len(part), len(two)), np.uint8)
             for k in range(COORDINATES):
                 alike += sig[part, k][:, None] == right[k]
             near = (alike >= least) & (at[part][:, None] != at[two]) & (den * np.minimum(n[part][:, None], n[two]) >= num * np.maximum(n[part][:, None], n[two]))
-            a, b = np.nonzero(near)
-            found.append((rep[part[a]], rep[two[b]]))
-        a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+            if two is one:
+                near &= two > part[:, None]
+            x, y = np.nonzero(near)
+            x, y = part[x], two[y]
+            for j in range(0, len(x), 20_000):
+                a, b = x[j : j + 20_000], y[j : j + 20_000]
+                both = (posts[a][:, :, None] == posts[b][:, None, :]).any(axis=2)
+                first = np.where(both, posts[a], np.iinfo(np.int64).max).min(axis=1) == post
+                for u, v in zip(a[first].tolist(), b[first].tolist(), strict=True):
+                    cu, cv = root(int(at[u])), root(int(at[v]))
+                    if cu == cv:
+                        continue
+                    common = len(np.intersect1d(sets[u], sets[v], assume_unique=True))
+                    if den * common >= num * (len(sets[u]) + len(sets[v]) - common):
+                        parent[cu] = cv
+                        found.append((rep[u], rep[v]))
+        return pd.DataFrame(found, columns=["a", "b"]).astype(np.int64)
 
     return run
 
@@ -239,12 +264,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
         else:
             open_ = rest.join(tops.select("post"), "post", "left_semi")
             sizes = open_.groupBy("post").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("post", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts"))
-            open_ = stash.keep(open_.join(sizes, "post").join(sigs, "rep"), "open")
+            posts_of = buckets.groupBy("rep").agg(F.collect_set("post").alias("posts"))
+            open_ = stash.keep(open_.join(sizes, "post").join(sigs, "rep").join(sets, "rep").join(posts_of, "rep"), "open")
             own = F.pmod(F.xxhash64("rep"), F.col("parts").cast("long")).cast("int")
             other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-            dealt = open_.select("*", own.alias("own")).select("*", other.alias("other")).select("post", "rep", "n", "component", "sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-            pairs = dealt.groupBy("post", "i", "j").applyInPandas(_blocks(least, num, den), "a long, b long")
-        new = confirm(pairs, f"round{r}")
+            dealt = open_.select("*", own.alias("own")).select("*", other.alias("other")).select("post", "rep", "n", "component", "sig", "shingles", "posts", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+            found_here = dealt.groupBy("post", "i", "j").applyInPandas(_blocks(least, num, den), "a long, b long")
+        new = confirm(pairs, f"round{r}") if r < ROUNDS else stash.keep(found_here.distinct(), f"links-round{r}")
         if not new.isEmpty():
             # What is known stands as one edge from each node to its component.
             found = components(stash, new.unionAll(found.select(F.col("node").alias("a"), F.col("component").alias("b"))), f"round{r}")
