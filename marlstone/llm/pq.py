@@ -1,9 +1,10 @@
 """Embedding near-duplicates by product quantisation.
 
 Vectors are scaled to length one, so a cosine is a distance. A coarse quantiser, fitted on a bounded sample, puts every vector into an inverted
-list of its label; its residual is coded in subspaces. A query probes all lists that can hold a vector within reach: by the
+list of its label; its residual is coded in subspaces. A query probes all lists that can hold a vector within reach, however many: by the
 triangle inequality, those whose centroid is at most twice the reach further than the nearest one and within the list's radius
-plus the reach. In a list, distances come from lookup tables of the codes; what a code's own error leaves
+plus the reach. Neighbouring lists of a label form a span of about BLOCK vectors, and a query is sent once to each span with such a list.
+In a list, distances come from lookup tables of the codes; what a code's own error leaves
 possible is reranked by the exact cosine. Vectors with equal components are one node with a count.
 """
 
@@ -16,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import Stash, components, join_small, read, ship
@@ -24,8 +25,8 @@ from .shared import Stash, components, join_small, read, ship
 #: The sample that quantisers are fitted on; vectors a list is meant to hold, and at most so many lists.
 SAMPLE, PER_LIST, MOST_LISTS = 20_000, 200, 4096
 SUBSPACES, CODEWORDS, STEPS = 8, 64, 8
-#: Lists a query probes at most, nearest first; vectors of a list compared in one block.
-PROBES, BLOCK = 32, 2048
+#: Vectors of a span of lists, and queries, compared in one block.
+BLOCK = 2048
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, steps: int = STEPS) -> np.ndarray:
@@ -44,11 +45,26 @@ def nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return np.concatenate([(x[i : i + 4096] @ centers.T - half).argmax(axis=1) for i in range(0, len(x), 4096)]) if len(x) else np.zeros(0, np.int64)
 
 
+def ordered(centers: np.ndarray) -> np.ndarray:
+    """The centers' places in an order that keeps near ones together: halves along the widest axis, and so on."""
+    done, todo = [], [np.arange(len(centers))]
+    while todo:
+        at = todo.pop()
+        if len(at) <= 2:
+            done.append(at)
+            continue
+        x = centers[at] - centers[at].mean(axis=0)
+        at = at[np.argsort(x @ np.linalg.svd(x, full_matrices=False)[2][0], kind="stable")]
+        todo += [at[len(at) // 2 :], at[: len(at) // 2]]
+    return np.concatenate(done)
+
+
 class Quantiser:
     def __init__(self, sample: np.ndarray, lists: int, seed: int = 5):
         rng = np.random.default_rng(seed)
         dim = sample.shape[1]
         self.coarse = kmeans(sample, lists, rng)
+        self.coarse = self.coarse[ordered(self.coarse)]
         rest = sample - self.coarse[nearest(sample, self.coarse)]
         parts = np.array_split(np.arange(dim), min(SUBSPACES, dim))
         self.parts = [(int(p[0]), int(p[-1]) + 1) for p in parts]
@@ -59,23 +75,24 @@ class Quantiser:
         at = nearest(x, self.coarse)
         rest = x - self.coarse[at]
         codes = np.column_stack([nearest(np.ascontiguousarray(rest[:, a:b]), w) for (a, b), w in zip(self.parts, self.words, strict=True)]).astype(np.uint8)
-        back = np.concatenate([w[c] for w, c in zip(self.words, codes.T, strict=True)], axis=1)
-        return at, codes, np.linalg.norm(rest - back, axis=1), np.linalg.norm(rest, axis=1)
+        return at, codes, np.linalg.norm(rest - self.decode(codes), axis=1), np.linalg.norm(rest, axis=1)
+
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        return np.concatenate([w[c] for w, c in zip(self.words, codes.T, strict=True)], axis=1)
 
-    def tables(self, queries: np.ndarray, at: int) -> list[np.ndarray]:
-        """For each subspace, squared distances of the queries' residuals to the codewords."""
-        rest = queries - self.coarse[at]
-        return [((rest[:, a:b] ** 2).sum(axis=1)[:, None] - 2 * rest[:, a:b] @ w.T + (w**2).sum(axis=1)) for (a, b), w in zip(self.parts, self.words, strict=True)]
+    def tables(self, queries: np.ndarray) -> list[np.ndarray]:
+        """For each subspace, products of the queries and the codewords."""
+        return [queries[:, a:b] @ w.T for (a, b), w in zip(self.parts, self.words, strict=True)]
 
-    def probes(self, x: np.ndarray, radius: np.ndarray, reach: float) -> list[np.ndarray]:
-        out = []
-        for i in range(0, len(x), 2048):
-            d = np.sqrt(np.maximum(0, (x[i : i + 2048] ** 2).sum(axis=1)[:, None] - 2 * x[i : i + 2048] @ self.coarse.T + (self.coarse**2).sum(axis=1)))
-            able = (d <= d.min(axis=1, keepdims=True) + 2 * reach + 1e-9) & (d <= radius + reach + 1e-9)
-            for row, ok in zip(d, able, strict=True):
-                at = np.flatnonzero(ok)
-                out.append(at if len(at) <= PROBES else at[np.argsort(row[at], kind="stable")[:PROBES]])
-        return out
+    def far(self, x: np.ndarray, lists: slice | np.ndarray = slice(None)) -> np.ndarray:
+        """Distances to the lists' centroids."""
+        c = self.coarse[lists]
+        return np.sqrt(np.maximum(0, (x**2).sum(axis=1)[:, None] - 2 * x @ c.T + (c**2).sum(axis=1)))
+
+    def probes(self, x: np.ndarray, radius: np.ndarray, reach: float) -> np.ndarray:
+        """For each vector and list, whether the list can hold a vector within reach."""
+        d = self.far(x)
+        return (d <= d.min(axis=1, keepdims=True) + 2 * reach + 1e-6) & (d <= radius + reach + 1e-6)
 
 
 def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +117,7 @@ def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compare(model: dict, least: float):
-    """Links between a block of queries and a block of one list: each query's number of links, and edges that join what is linked."""
+    """Links between a block of queries and a block of a span of lists: each query's number of links, and edges that join what is linked."""
     reach = math.sqrt(max(0.0, 2 - 2 * least))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -108,18 +125,29 @@ def _compare(model: dict, least: float):
         none = pd.DataFrame({"rep": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "to": np.zeros(0, np.int64)})
         if not len(q) or not len(e):
             return none
-        quantiser, at = model[int(pdf["dim"].iloc[0])], int(pdf["at"].iloc[0])
+        quantiser = model[int(pdf["dim"].iloc[0])]
         x, y = (np.frombuffer(b"".join(p.unit), np.float64).reshape(len(p), -1) for p in (q, e))
         codes = np.frombuffer(b"".join(e.codes), np.uint8).reshape(len(e), -1)
         error, weight = e.error.to_numpy(), e.m.to_numpy()
+        lists, own = np.unique(e["at"].to_numpy(np.int64), return_inverse=True)
+        radius = np.zeros(len(lists))
+        np.maximum.at(radius, own, e.far.to_numpy())
+        back = quantiser.decode(codes)
+        fixed = (back**2).sum(axis=1) + 2 * (quantiser.coarse[lists][own] * back).sum(axis=1)
+        limit = (reach + error + 1e-6) ** 2
         q_id, e_id = q.rep.to_numpy(), e.rep.to_numpy()
         ids = np.unique(np.concatenate([q_id, e_id]))
         q_at, e_at = np.searchsorted(ids, q_id), np.searchsorted(ids, e_id)
         links, label, pairs = np.zeros(len(q), np.int64), np.arange(len(ids)), []
         for i in range(0, len(q), 256):
-            tables = quantiser.tables(x[i : i + 256], at)
-            near = sum(t[:, codes[:, k]] for k, t in enumerate(tables))
-            a, b = np.nonzero(near <= (reach + error + 1e-6) ** 2)
+            d = quantiser.far(x[i : i + 256], lists)
+            able = d <= radius + reach + 1e-6
+            some = np.flatnonzero(able.any(axis=0)[own])
+            near = d[:, own[some]] ** 2 + fixed[some]
+            for k, t in enumerate(quantiser.tables(x[i : i + 256])):
+                near -= 2 * t[:, codes[some, k]]
+            a, b = np.nonzero((near <= limit[some]) & able[:, own[some]])
+            b = some[b]
             ok = (np.einsum("ij,ij->i", x[i + a], y[b]) >= least) & (q_id[i + a] != e_id[b])
             a, b = a[ok] + i, b[ok]
             links += np.bincount(a, weights=weight[b], minlength=len(q)).astype(np.int64)
@@ -184,27 +212,44 @@ def vector_links(vectors: DataFrame, least: float = 0.93, stash: Stash | None =
         radii[r.dim][r["at"]] = r.r
     wide = spark.sparkContext.broadcast(radii)
 
+    # Lists of a label in the order of their places fill spans of about BLOCK vectors; firsts are the places where spans begin.
+    lists = ["label", "dim"]
+    size = coded.groupBy(*lists, "at").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*lists).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = size.withColumn("span", F.floor(before / BLOCK)).groupBy(*lists, "span").agg(F.min("at").alias("first"))
+    spans = stash.keep(spans.groupBy(*lists).agg(F.sort_array(F.collect_list("first")).alias("firsts")), "spans")
+    placed = join_small(coded, spans, lists, "inner")
+
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column(2).to_numpy()
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
                 x = np.frombuffer(b"".join(part.column(3).to_pylist()), np.float64).reshape(part.num_rows, -1)
-                found = shared.value[int(dim)].probes(x, wide.value[int(dim)], reach)
-                rows = np.repeat(np.arange(part.num_rows), [len(f) for f in found])
-                out = part.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.concatenate(found) if len(rows) else np.zeros(0), pa.int32())], ["rep", "label", "dim", "unit", "at"])
-
-    asked = stash.keep(coded.select("rep", "label", "dim", "unit").mapInArrow(probe, f"rep long, label {label_type}, dim int, unit binary, at int"), "asked")
-    # Lists are cut into blocks of queries and of entries; every pair of blocks of a list meets in a task of its own.
-    lists = ["label", "dim", "at"]
+                firsts = part.column(4).to_pylist()
+                for a in range(0, part.num_rows, 2048):
+                    can = shared.value[int(dim)].probes(x[a : a + 2048], wide.value[int(dim)], reach)
+                    rows, at = [], []
+                    for i, ok in enumerate(can):
+                        # A span holds the lists from its first place to the next span's.
+                        found = np.unique(np.searchsorted(firsts[a + i], np.flatnonzero(ok), side="right") - 1)
+                        found = found[found >= 0]
+                        rows.append(np.full(len(found), a + i))
+                        at.append(found)
+                    out = part.take(pa.array(np.concatenate(rows)))
+                    yield pa.RecordBatch.from_arrays([*out.columns[:4], pa.array(np.concatenate(at), pa.int32())], ["rep", "label", "dim", "unit", "span"])
+
+    asked = stash.keep(placed.select("rep", "label", "dim", "unit", "firsts").mapInArrow(probe, f"rep long, label {label_type}, dim int, unit binary, span int"), "asked")
+    # Spans are cut into blocks of queries and of entries; every pair of blocks of a span meets in a task of its own.
+    lists = ["label", "dim", "span"]
+    coded = placed.withColumn("span", (F.size(F.filter("firsts", lambda f: f <= F.col("at"))) - 1).cast("int")).drop("firsts")
     cut = coded.groupBy(*lists).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("e_parts")).join(asked.groupBy(*lists).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q_parts")), lists)
     cut = stash.keep(cut, "cut")
     part = lambda n: F.pmod(F.xxhash64("rep"), F.col(n).cast("long")).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     no = F.lit(None)
-    queries = join_small(asked, cut, lists, "inner").select(*lists, part("q_parts").alias("i"), each("e_parts").alias("j"), "rep", F.lit(0).cast("long").alias("m"), "unit", no.cast("binary").alias("codes"), no.cast("double").alias("error"), F.lit(True).alias("is_query"))
-    entries = join_small(coded, cut, lists, "inner").select(*lists, each("q_parts").alias("i"), part("e_parts").alias("j"), "rep", "m", "unit", "codes", "error", F.lit(False).alias("is_query"))
+    queries = join_small(asked, cut, lists, "inner").select(*lists, part("q_parts").alias("i"), each("e_parts").alias("j"), "rep", F.lit(0).cast("long").alias("m"), "unit", no.cast("int").alias("at"), no.cast("binary").alias("codes"), no.cast("double").alias("error"), no.cast("double").alias("far"), F.lit(True).alias("is_query"))
+    entries = join_small(coded, cut, lists, "inner").select(*lists, each("q_parts").alias("i"), part("e_parts").alias("j"), "rep", "m", "unit", "at", "codes", "error", "far", F.lit(False).alias("is_query"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         return _compare(shared.value, least)(pdf)

@@ -144,6 +144,21 @@ def test_vector_links_against_brute_force(spark, monkeypatch):
     assert all(r.kept == (i == r.component_id) for i, r in found.items())
 
 
+def test_no_list_in_reach_is_left_out(spark, monkeypatch):
+    """Evenly spread vectors in 400 lists: some 48 of them hold links of a query."""
+    monkeypatch.setattr(pq, "PER_LIST", 4)
+    monkeypatch.setattr(pq, "BLOCK", 100)
+    x = np.random.default_rng(8).normal(size=(1600, 2)).astype(np.float32)
+    rows = [(i, [float(v) for v in own], i % 2) for i, own in enumerate(x)]
+    links = brute_links(rows)
+    n = dict.fromkeys(range(len(rows)), 0)
+    for i in itertools.chain.from_iterable(links):
+        n[i] += 1
+    found = {r.vec_id: r for r in pq.vector_links(vectors(spark, rows)).collect()}
+    assert {i: r.n_links for i, r in found.items()} == n
+    assert {i: r.component_id for i, r in found.items()} == components(list(found), links)
+
+
 def test_vectors_edge_cases(spark):
     assert pq.vector_links(vectors(spark, [])).count() == 0
     found = pq.vector_links(vectors(spark, [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (None, [1.0, 0.0], 0), (2, [0.0, 1.0], 0)])).collect()
