@@ -77,5 +77,5 @@ def j19_latest_row(spark, sf_dir):
     return latest_row(events.where("event_type <> 'purchase'"), bought, ["user_id"], "ts", "bought", ["last_purchase"]).select("event_id", "last_purchase")
 
 
-both("j21_null_equal_join", "SELECT a.event_id AS a, b.event_id AS b FROM (SELECT event_id, nullif(user_id % 10, 3) AS k FROM events WHERE event_id < 60) a JOIN (SELECT event_id, nullif(user_id % 10, 3) AS k FROM events WHERE event_id BETWEEN 60 AND 99) b ON a.k IS NOT DISTINCT FROM b.k")
+both("j21_null_equal_join", "SELECT a.event_id AS a, b.last AS b, b.n AS n FROM (SELECT event_id, nullif(user_id % 100, 3) AS k FROM events) a JOIN (SELECT nullif(user_id % 100, 3) AS k, max(event_id) AS last, count(*) AS n FROM events GROUP BY 1) b ON a.k IS NOT DISTINCT FROM b.k")
 both("j22_build_on_smaller", "SELECT s_name, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_name")

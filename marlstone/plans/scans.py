@@ -17,13 +17,14 @@ pair("s11_unnest", "SELECT event_id, explode(array(user_id, event_id)) AS v FROM
 
 
 @frame("s4_facts_window", """
-SELECT event_id, user_id, CAST(NULL AS VARCHAR) AS memo FROM events WHERE event_id > 100 AND event_id <= 400
-UNION ALL SELECT event_id, user_id, 'live' AS memo FROM events WHERE event_id > 400 AND event_id <= 450
+SELECT event_id, user_id, CAST(NULL AS VARCHAR) AS memo FROM events WHERE event_id > 100 AND event_id <= (SELECT max(event_id) - 200 FROM events)
+UNION ALL SELECT event_id, user_id, 'live' AS memo FROM events WHERE event_id > (SELECT max(event_id) - 200 FROM events) AND event_id <= (SELECT max(event_id) - 150 FROM events)
 """)
 def s4_facts_window(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "user_id")
-    hot = events.where("event_id > 400 and event_id <= 600").withColumn("memo", F.lit("live"))
-    return facts(events.where("event_id <= 400"), hot, {"event_id": "bigint", "user_id": "bigint", "memo": "string"}, "event_id", after=100, through=450)
+    last = events.agg(F.max("event_id")).first()[0]
+    hot = events.where(F.col("event_id") > last - 200).withColumn("memo", F.lit("live"))
+    return facts(events.where(F.col("event_id") <= last - 200), hot, {"event_id": "bigint", "user_id": "bigint", "memo": "string"}, "event_id", after=100, through=last - 150)
 
 
 @frame("s5_register_rows", "SELECT e.event_type, count(*) AS n, max(l.label) AS label FROM events e JOIN (VALUES ('click', 'a click'), ('view', 'a view')) AS l(kind, label) ON e.event_type = l.kind GROUP BY 1")
@@ -35,13 +36,14 @@ def s5_register_rows(spark, sf_dir):
     return events.join(F.broadcast(labels), events.event_type == labels.kind).groupBy("event_type").agg(F.count("*").alias("n"), F.max("label").alias("label"))
 
 
-@frame("s14_seam", "SELECT event_id, user_id, event_type FROM events WHERE event_id <= 900")
+@frame("s14_seam", "SELECT event_id, user_id, event_type FROM events")
 def s14_seam(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
     tip = MemoryTip("event_id")
-    tip.append("events", [r.asDict() for r in events.where("event_id > 700 and event_id <= 900").collect()])
-    tip.seal_through("events", 800)
-    return seam(events.where("event_id <= 850"), tip, "events")
+    last = events.agg(F.max("event_id")).first()[0]
+    tip.append("events", [r.asDict() for r in events.where(F.col("event_id") > last - 200).collect()])
+    tip.seal_through("events", last - 100)
+    return seam(events.where(F.col("event_id") <= last - 50), tip, "events")
 
 
 @frame("s6_empty_declared_table", "SELECT CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS name WHERE false")
