@@ -22,8 +22,9 @@ from .wordhash import word_hashes
 STATES, CLASS_BITS, PASSES = 8, 13, 6
 #: How much the first model stays in a state, so that states become topics and languages; 0 leaves moves to chance.
 STAY = 0.9
-#: Training runs over stretches of so many tokens, each begun from the stationary state; scoring runs over whole texts.
-STRETCH = 128
+#: Training and scoring run over whole texts. Training holds forward states of about so many tokens at once; of texts beyond, it keeps
+#: the states at the borders of stretches and computes each stretch again on the way back.
+HOLD = 1 << 18
 #: Words that make up at least one in FREQUENT tokens are looked up from a broadcast table (so many words at most), others joined.
 FREQUENT = 1 << 21
 END = -0x61C8864680B583EB  # hash of the end
@@ -67,30 +68,53 @@ class Model:
         return back
 
     def counts(self, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-        """Expected counts over stretches: first states, moves, emissions; and the log-likelihood. seq: (stretches, STRETCH), -1 behind the end."""
-        n, length = seq.shape
+        """Expected counts over texts: first states, moves, emissions; and the log-likelihood. seq: (texts, tokens), -1 behind the end."""
+        return self.expected(seq[seq >= 0], (seq >= 0).sum(axis=1))
+
+    def expected(self, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """The same over texts one behind the other, of one token at least each."""
         k = len(self.start)
-        ratio = np.vstack([self.ratio.T, np.ones(k)])
-        real = seq >= 0
-        alpha, scale = np.empty((length, n, k)), np.ones((length, n))
-        state = np.tile(self.start, (n, 1))
-        for t in range(length):
-            state = (state @ self.move if t else state) * ratio[seq[:, t]]
-            scale[t] = s = state.sum(axis=1)
-            state = state / s[:, None]
-            alpha[t] = state
-        beta, moves = np.ones((n, k)), np.zeros((k, k))
-        for t in range(length - 1, -1, -1):
-            gamma = alpha[t] * beta
-            gamma /= gamma.sum(axis=1, keepdims=True)
-            if t:
-                after = ratio[seq[:, t]] * beta / scale[t][:, None]
-                moves += (alpha[t - 1] * real[:, t : t + 1]).T @ after * self.move
-                beta = after @ self.move.T
-            alpha[t] = gamma
-        flat = (seq.T % (CLASSES + 1)).ravel()
-        emit = np.stack([np.bincount(flat, weights=alpha[:, :, j].ravel(), minlength=CLASSES + 1)[:CLASSES] for j in range(k)])
-        return gamma.sum(axis=0), moves, emit, float((np.log(scale) * real.T).sum())
+        order = np.argsort(-sizes, kind="stable")
+        starts, sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
+        # The longest texts come first; those that still run at a step are the first alive[step].
+        alive = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), side="right")
+        cuts = [0, *(np.flatnonzero(np.diff((np.cumsum(alive) - 1) // HOLD)) + 1).tolist(), len(alive)]
+        stretches, ratio = list(zip(cuts[:-1], cuts[1:], strict=True)), np.ascontiguousarray(self.ratio.T)
+
+        def forward(a: int, b: int, state: np.ndarray) -> tuple[list, list, list]:
+            """For each step its classes, the states behind it and their scale; state: that before step a."""
+            classes, alpha, scale = [], [], []
+            for t in range(a, b):
+                n = alive[t]
+                classes.append(flat[starts[:n] + t])
+                state = (state[:n] @ self.move if t else state) * ratio[classes[-1]]
+                scale.append(state.sum(axis=1)[:, None])
+                state /= scale[-1]
+                alpha.append(state)
+            return classes, alpha, scale
+
+        border, like = [np.tile(self.start, (len(sizes), 1))], 0.0
+        for a, b in stretches:
+            held = forward(a, b, border[-1])
+            border.append(held[1][-1])
+            like += sum(float(np.log(x).sum()) for x in held[2])
+        moves, emit, carry = np.zeros((k, k)), np.zeros((k, CLASSES)), np.ones((0, k))
+        for at in range(len(stretches) - 1, -1, -1):
+            a, b = stretches[at]
+            classes, alpha, scale = held if at == len(stretches) - 1 else forward(a, b, border[at])
+            for t in range(b - 1, a - 1, -1):
+                own, n = t - a, alive[t]
+                beta = carry if len(carry) == n else np.concatenate([carry, np.ones((n - len(carry), k))])  # texts that end here
+                gamma = alpha[own] * beta
+                if t:
+                    after = ratio[classes[own]] * beta / scale[own]
+                    moves += (alpha[own - 1] if own else border[at])[:n].T @ after
+                    carry = after @ self.move.T
+                gamma /= gamma.sum(axis=1, keepdims=True)
+                alpha[own] = gamma
+            seen, weight = np.concatenate(classes), np.concatenate(alpha)
+            emit += np.stack([np.bincount(seen, weights=weight[:, i], minlength=CLASSES) for i in range(k)])
+        return gamma.sum(axis=0), moves * self.move, emit, like
 
 
 def first_model(mass: np.ndarray, states: int = STATES, stay: float = STAY, seed: int = 11) -> Model:
@@ -147,30 +171,29 @@ def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 
 
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as stretches of classes, two bytes each."""
+    """Texts as classes, two bytes each."""
     for batch in batches:
         for _, part in _texts(batch, 0):
             flat, sizes = tokens_of(part)
             seq = class_of(flat).astype("<u2")
-            rows = [seq[i : min(i + STRETCH, e)].tobytes() for e, n in zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True) for i in range(e - n, e, STRETCH)]
+            rows = [seq[e - n : e].tobytes() for e, n in zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["seq"])
 
 
 def _expecting(model):
-    """Expected counts of the partition's stretches: one row for each state."""
+    """Expected counts of the partition's texts: one row for each state."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(model.value.start)
         start, moves, emit, like = np.zeros(k), np.zeros((k, k)), np.zeros((k, CLASSES)), 0.0
         for batch in batches:
-            rows = batch.column(0).to_pylist()
-            for at in range(0, len(rows), 1500):
-                part = rows[at : at + 1500]
-                seq = np.full((len(part), STRETCH), -1, np.int64)
-                for i, r in enumerate(part):
-                    own = np.frombuffer(r, "<u2")
-                    seq[i, : len(own)] = own
-                a, b, c, d = model.value.counts(seq)
+            rows = sorted(batch.column(0).to_pylist(), key=len)  # texts of like length share steps
+            while rows:
+                part, size = [], 0
+                while rows and (not part or size + len(rows[-1]) // 2 <= HOLD):
+                    part.append(np.frombuffer(rows.pop(), "<u2"))
+                    size += len(part[-1])
+                a, b, c, d = model.value.expected(np.concatenate(part).astype(np.int64), np.array([len(x) for x in part]))
                 start, moves, emit, like = start + a, moves + b, emit + c, like + d
         yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(start), pa.array([x.tobytes() for x in moves], pa.binary()), pa.array([x.tobytes() for x in emit], pa.binary()), pa.array([like / k] * k)], ["state", "first", "moves", "emit", "like"])
 

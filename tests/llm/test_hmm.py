@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from marlstone.llm import hmm, shared
@@ -66,6 +67,40 @@ def test_expected_counts_against_all_paths():
     assert all(emit[s, c] == pytest.approx(v / total) for (s, c), v in e.items())
 
 
+@pytest.mark.parametrize("hold", [7, 100, 1 << 18])
+def test_expected_counts_over_whole_texts(monkeypatch, hold):
+    """Training's counts of long texts are those of forward and backward over each whole text; texts begin once."""
+    monkeypatch.setattr(hmm, "HOLD", hold, raising=False)
+    model, _ = random_model(5)
+    rng = random.Random(7)
+    texts = [" ".join(f"w{rng.randrange(40)}" for _ in range(n)) for n in (500, 300, 129, 40, 1, 0)]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    seqs = list(hmm._sequences(iter([batch])))
+    made = next(hmm._expecting(type("Held", (), {"value": model}))(iter(seqs))).to_pylist()
+    first, moves, emit, like = np.zeros(3), np.zeros((3, 3)), np.zeros((3, hmm.CLASSES)), 0.0
+    for t in texts:
+        c = hmm.class_of(hmm.tokens_of([t])[0])
+        e = [model.ratio[:, x] for x in c]
+        a, b = [model.start * e[0]], [np.ones(3)]
+        for x in e[1:]:
+            a.append(a[-1] @ model.move * x)
+        for x in e[:0:-1]:
+            b.append(model.move @ (x * b[-1]))
+        b, total = b[::-1], a[-1].sum()
+        first += a[0] * b[0] / total
+        like += math.log(total)
+        for i, x in enumerate(c):
+            emit[:, x] += a[i] * b[i] / total
+            if i:
+                moves += np.outer(a[i - 1], e[i] * b[i]) * model.move / total
+    assert first.sum() == pytest.approx(len(texts)) and np.allclose([r["first"] for r in made], first)
+    assert np.allclose([np.frombuffer(r["moves"]) for r in made], moves) and np.allclose([np.frombuffer(r["emit"]) for r in made], emit)
+    assert sum(r["like"] for r in made) == pytest.approx(like)
+    flat, sizes = hmm.tokens_of(texts)
+    together = model.expected(hmm.class_of(flat), sizes)
+    assert all(np.allclose(x, y) for x, y in zip(together, (first, moves, emit, like), strict=True))
+
+
 def base_score(rows, train):
     c = Counter(w for _, t in train for w in [*tokens(t), None])
     n, v = sum(c.values()), len(c)
