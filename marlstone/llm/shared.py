@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import threading
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +49,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; in a session that sets none (tests), a temporary one of this process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="marlstone-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -75,8 +80,8 @@ def release() -> None:
     while _stashes:
         try:
             _stashes.pop().drop()
-        except Exception:  # the session may have ended before
-            return
+        except Exception:  # that session may have ended before; others may not
+            continue
 
 
 atexit.register(release)
@@ -135,10 +140,36 @@ def components(stash: Stash, edges: DataFrame, name: str) -> DataFrame:
     return stash.keep(chain.join(least, "to").select("node", "component"), f"{name}-components")
 
 
-def worker_cache(name: str, make):
-    """A value that lives as long as the Python worker, whichever task asks."""
-    return _cache.setdefault(name, None) or _cache.update({name: make()}) or _cache[name]
+def text_parts(batch: pa.RecordBatch, column: int, most: int) -> Iterator[tuple[int, list[str | None]]]:
+    """The texts of a batch in parts of at most so many bytes, one text at least: the place of the first, and the texts. Only one part
+    is held as Python strings at a time."""
+    texts = batch.column(column)
+    ends, at = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64)), 0
+    while at < len(texts):
+        before = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield at, texts.slice(at, to - at).to_pylist()
+        at = to
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, and at a task's end the worker, which lives on, gives what it doesn't use back to the machine."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own house
+        pass
 
 
-_cache: dict = {}
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

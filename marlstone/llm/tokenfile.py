@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Stash, read, ship
+from .shared import Stash, read, ship, tidied
 from .tokens import encoded
 
 BLOCK, MAGIC, TAIL = 4096, b"MTOK1\0\0\0", struct.Struct("<8sqqqqq")
@@ -141,9 +141,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, stash: Stash, docs_p
             fs.move(temp, f"{root}/{number:06d}.mtok")
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sum(made.sizes)], pa.int64())], ["part", "n"])
 
-    coded = docs.select("doc_id", "text").mapInArrow(encode, "part int, doc_id long, data binary")
+    coded = docs.select("doc_id", "text").mapInArrow(tidied(encode), "part int, doc_id long, data binary")
     dealt = coded.repartitionById(max(1, len(lasts)), "part").sortWithinPartitions("doc_id", "data")
-    done = stash.keep(dealt.mapInArrow(write, "part long, n long"), "files")
+    done = stash.keep(dealt.mapInArrow(tidied(write), "part long, n long"), "files")
     return folder, sorted((r.part, r.n) for r in done.collect())
 
 
@@ -173,7 +173,7 @@ def read_tokens(spark: SparkSession, folder: str, files: list[tuple[int, int]])
                     yield pa.RecordBatch.from_arrays([pa.array(file.docs, mask=file.docs == NULL_DOC), pa.array(base + ends - file.sizes), pa.array(file.sizes), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     numbers = spark.range(0, len(files), 1, max(1, len(files)))
-    return numbers.mapInArrow(scan, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return numbers.mapInArrow(tidied(scan), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_file_round_trip(docs: DataFrame, tokenizer: str, end: int, stash: Stash | None = None, docs_per_file: int = DOCS_PER_FILE) -> DataFrame:

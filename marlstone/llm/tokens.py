@@ -1,7 +1,8 @@
 """Encoding whole texts with a tokenizers file, fast: distinct stretches are encoded once per worker and looked up after that.
 
 Byte-level BPE of this family never joins what stands before a white space with what follows after a visible character, so a text
-may be cut at each change from visible to white space; the ids of the whole are those of the stretches in a row.
+may be cut at each change from visible to white space; the ids of the whole are those of the stretches in a row. Texts in which a
+token is spelt out that the file adds to the vocabulary (an end mark, say) go to the library whole, which makes one id of it.
 """
 
 from __future__ import annotations
@@ -13,14 +14,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from .shared import text_parts
+
 #: White space of Unicode, as the tokenizer's pattern has it.
 BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 STRETCH = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
 #: Texts with these take the general way; in others, stretches begin at each single space or line feed.
 UNUSUAL = re.compile(r"[\x00\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|[ \n][ \n]")
 #: The lookup is emptied beyond so many distinct stretches, which bounds a worker's memory.
-MOST_STRETCHES = 1_500_000
-BATCH_CHARS = 4_000_000
+MOST_STRETCHES = 500_000
+BATCH_BYTES = 2_000_000
 
 
 class _Index(dict):
@@ -41,7 +44,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marks = re.compile("|".join(map(re.escape, added))) if added else None
         vocab = self.tokenizer.get_vocab()
         self.vocab_size = max(vocab.values()) + 1
         self.n_bytes = np.zeros(self.vocab_size, np.int64)
@@ -77,7 +81,11 @@ class Encoder:
         if len(self.index) > MOST_STRETCHES:
             self._reset()
         look, rows = self.index.__getitem__, []
-        for t in texts:
+        marked = {i: self.whole(t) for i, t in enumerate(texts) if self.marks and self.marks.search(t)}
+        for i, t in enumerate(texts):
+            if i in marked:
+                rows.append(np.zeros(0, np.int64))
+                continue
             parts = STRETCH.findall(t) if UNUSUAL.search(t) else t.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
             rows.append(np.fromiter(map(look, parts), np.int64, len(parts)))
         if self.index.new:
@@ -88,7 +96,16 @@ class Encoder:
         before = np.concatenate([[0], np.cumsum(n)])
         ids = flat[np.repeat(starts[at] - before[:-1], n) + np.arange(before[-1])] if len(at) else np.zeros(0, np.uint32)
         ends = np.cumsum([len(r) for r in rows], dtype=np.int64) if rows else np.zeros(0, np.int64)
-        return ids, np.diff(before[ends], prepend=0)
+        sizes = np.diff(before[ends], prepend=0)
+        if marked:
+            parts = np.split(ids, np.cumsum(sizes)[:-1])
+            for i, own in marked.items():
+                parts[i], sizes[i] = own, len(own)
+            ids = np.concatenate(parts)
+        return ids, sizes
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -105,12 +122,7 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[
     """From batches of (doc_id, text): doc_ids, all their ids in a row with end behind each document, and each document's number of ids. Null texts count as empty."""
     tool = encoder(path)
     for batch in batches:
-        docs, texts, at = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0
-        while at < len(docs):
-            to, chars = at, 0
-            while to < len(docs) and (to == at or chars < BATCH_CHARS):
-                chars += len(texts[to] or "")
-                to += 1
-            ids, n = tool.encode([t or "" for t in texts[at:to]])
-            yield docs[at:to], np.insert(ids, np.cumsum(n), end), n + 1
-            at = to
+        docs = batch.column(0).to_pylist()
+        for at, texts in text_parts(batch, 1, BATCH_BYTES):
+            ids, n = tool.encode([t or "" for t in texts])
+            yield docs[at : at + len(texts)], np.insert(ids, np.cumsum(n), end), n + 1

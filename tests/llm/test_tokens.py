@@ -12,13 +12,12 @@ from marlstone.llm import packing, tokenfile, tokens
 from .helpers import corpus, table
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-ODD = ["", " ", "\n", "a", " a", "a ", "a  b", "a\n\nb", "a \nb", "\ta b\t", "a b c  d", "I'm he's  don't", "x　y z", " a b", "a\0b c", "a b\x1c c", "<|endoftext|> <|endoftext|>", "naïve 你好 мир 😀 é́", "1234 56 7.8", "a\r\nb", "\n\n\n", "a \n", "ﬁ \x85 b", "!!! ???\n ...", "tab\there"]
+ODD = ["", " ", "\n", "a", " a", "a ", "a  b", "a\n\nb", "a \nb", "\ta b\t", "a b c  d", "I'm he's  don't", "x　y z", " a b", "a\0b c", "a b\x1c c", "<|endoftext|> <|endoftext|>", "hello <|endoftext|> there", "a<|endoftext|>b  <|ENDOFTEXT|>  <|endoftext|>\n", "<|endoftext|>", "naïve 你好 мир 😀 é́", "1234 56 7.8", "a\r\nb", "\n\n\n", "a \n", "ﬁ \x85 b", "!!! ???\n ...", "tab\there"]
 
 
 @pytest.fixture(scope="module")
 def plain():
     made = Tokenizer.from_file(PATH)
-    made.encode_special_tokens = True
     return lambda t: made.encode(t or "", add_special_tokens=False).ids
 
 
@@ -27,6 +26,7 @@ def test_encoder_equals_the_library(plain):
     bits = [*ODD, "the", " of", "\n", "  ", "Ünder", "don't"]
     texts = ODD + ["".join(rng.choice(bits) + rng.choice(["", " ", "\n", "\t"]) for _ in range(rng.randrange(1, 30))) for _ in range(300)]
     tool = tokens.Encoder(PATH)
+    assert plain("hello <|endoftext|> there") == [31373, 220, 50256, 612]
     for _ in range(2):
         ids, n = tool.encode(texts)
         parts = np.split(ids, np.cumsum(n)[:-1])
