@@ -1,9 +1,10 @@
 """Language identification by averaged hashed subword embeddings with a linear softmax.
 
 A text is the average of the embeddings of its subwords: the 2- to 4-grams of letters, word edges included, hashed to a fixed table.
-Embeddings and softmax are trained together by stochastic gradient descent in numpy on a bounded sample of labelled texts; a
-temperature fitted on a part held back calibrates the probabilities, and the least probability that keeps the error of accepted
-predictions low is the rejection threshold. As averaging and softmax weights are linear, a prediction sums rows of one
+Embeddings and softmax are trained together by stochastic gradient descent in numpy on a bounded sample of whole labelled texts. A step is
+a share of the inverse of the loss's curvature at the text, so no step overshoots and training can't diverge; numbers that
+aren't finite are an error all the same. A temperature fitted on texts held back from training calibrates the probabilities, and the least
+probability that keeps the error of accepted predictions low is the rejection threshold. As averaging and softmax weights are linear, a prediction sums rows of one
 buckets-by-languages table over the whole text.
 """
 
@@ -16,14 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fold_of, read, ship
+from .shared import fold_of, read, ship, text_parts, tidied
 
 BUCKET_BITS, DIM = 16, 16
-#: The training sample: at most so many labelled texts, so many characters and subwords of each.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_GRAMS = 8_000, 3_000, 300
-EPOCHS, RATE, BATCH, HELD_PART, KEPT_ERROR = 4, 0.5, 32, 8, 0.01
+#: The training sample: at most so many labelled texts, all of them whole, with so many characters together (one text at least).
+SAMPLE_DOCS, SAMPLE_CHARS = 4_000, 20_000_000
+#: Of the texts of a language, one in HELD_PART is held back to calibrate on.
+EPOCHS, RATE, HELD_PART, KEPT_ERROR = 4, 0.5, 8, 0.01
 UNKNOWN = "und"
-CHUNK = 2_000_000
+#: Texts are scored in parts of at most so many bytes.
+CHUNK = 1_000_000
 _letters: list[np.ndarray] = []
 
 
@@ -71,11 +74,12 @@ def sums(table: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return total, number
 
 
-def grams_of(text: str, rng: np.random.Generator) -> np.ndarray:
+def grams_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a whole text's subwords and the share of the subwords in each."""
     flat, _ = code_points([text])
-    found = [b[ok] for b, ok in buckets(flat)]
-    found = np.concatenate(found) if found else np.zeros(0, np.int64)
-    return found if len(found) <= SAMPLE_GRAMS else rng.choice(found, SAMPLE_GRAMS, replace=False)
+    n = sum((np.bincount(b[ok], minlength=1 << BUCKET_BITS) for b, ok in buckets(flat)), np.zeros(1 << BUCKET_BITS, np.int64))
+    own = np.flatnonzero(n)
+    return own.astype(np.uint16), (n[own] / max(1, n.sum())).astype(np.float32)
 
 
 class Model:
@@ -99,77 +103,89 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def train(rows: list[tuple[str, str]], seed: int = 1) -> Model:
-    """rows: (text, language)."""
+    """rows: (text, language). Equal rows count once; with no rows the model knows no language."""
     rng = np.random.default_rng(seed)
+    rows = sorted(set(rows))
     langs = sorted({y for _, y in rows})
     if not langs:
         return Model([], np.zeros((1 << BUCKET_BITS, 1), np.float32), np.zeros(1), 1.0, 0.0)
-    data = [(g, langs.index(y)) for t, y in rows if len(g := grams_of(t, rng))]
-    held, own = data[:: HELD_PART] if len(data) >= 10 * HELD_PART else data, [d for i, d in enumerate(data) if i % HELD_PART or len(data) < 10 * HELD_PART]
-    E = rng.normal(0, 0.1, (1 << BUCKET_BITS, DIM)).astype(np.float32)
-    W, c = np.zeros((DIM, len(langs)), np.float32), np.zeros(len(langs), np.float32)
-    W += rng.normal(0, 0.1, W.shape).astype(np.float32)
-    steps, step = EPOCHS * -(-len(own) // BATCH), 0
+    own, held, seen = [], [], dict.fromkeys(langs, 0)
+    for t, y in rows:
+        grams = grams_of(t)
+        if len(grams[0]):
+            seen[y] += 1
+            (held if seen[y] % HELD_PART == 0 else own).append((*grams, langs.index(y)))
+    E = rng.normal(0, 0.1, (1 << BUCKET_BITS, DIM))
+    W, c = rng.normal(0, 1, (DIM, len(langs))), np.zeros(len(langs))
+    steps, step = max(1, EPOCHS * len(own)), 0
     for _ in range(EPOCHS):
-        order = rng.permutation(len(own))
-        for at in range(0, len(order), BATCH):
-            part = [own[i] for i in order[at : at + BATCH]]
-            n = np.array([len(g) for g, _ in part])
-            flat = np.concatenate([g for g, _ in part])
-            starts = np.cumsum(n) - n
-            x = np.add.reduceat(E[flat], starts, axis=0) / n[:, None]
-            d = softmax(x @ W + c)
-            d[np.arange(len(part)), [y for _, y in part]] -= 1
-            rate = RATE * (1 - step / steps) + 1e-3
-            dx = d @ W.T
-            W -= rate * (x.T @ d).astype(np.float32)
-            c -= rate * d.sum(axis=0).astype(np.float32)
-            np.add.at(E, flat, -(rate * np.repeat(dx / n[:, None] * 20, n, axis=0)).astype(np.float32))
+        for i in rng.permutation(len(own)):
+            g, share, y = own[i]
+            x = share @ E[g]
+            d = softmax((x @ W + c)[None])[0]
+            d[y] -= 1
+            rate = RATE * (1 - step / steps)
+            back = W @ d
+            # The curvature along the embeddings is at most |share|^2 |W|^2, along the softmax |x|^2 + 1.
+            E[g] -= np.outer(share * (rate / (float(share @ share) * max(1.0, float((W * W).sum())))), back)
+            pace = rate / (float(x @ x) + 1)
+            W -= pace * np.outer(x, d)
+            c -= pace * d
             step += 1
     table = (E @ W).astype(np.float32)
-    z = np.array([table[g].mean(axis=0) + c for g, _ in held]) if held else np.zeros((0, len(langs)))
-    y = np.array([k for _, k in held], int)
-    heat = min((2.0**h for h in np.arange(-3, 5.1, 0.5)), key=lambda h: -np.log(np.maximum(softmax(z * h)[np.arange(len(y)), y], 1e-12)).mean()) if len(y) else 1.0
-    p = softmax(z * heat) if len(y) else z
-    least = 0.0
-    if len(y):
-        top, right = p.max(axis=1), p.argmax(axis=1) == y
-        for t in np.sort(top):
-            if 1 - right[top >= t].mean() <= KEPT_ERROR:
-                least = float(t)
-                break
-    return Model(langs, table, c.astype(float), float(heat), least)
+    if not (np.isfinite(table).all() and np.isfinite(c).all()):
+        raise ArithmeticError("training didn't end in finite numbers")
+    heat, least = calibrated(np.array([share @ table[g] + c for g, share, _ in held]).reshape(len(held), len(langs)), np.array([y for *_, y in held], int))
+    return Model(langs, table, c, heat, least)
+
+
+def calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """The factor of the scores that makes held-back texts likeliest, their languages taken as certain to (n + 1) / (n + 2), and the least probability at which at most KEPT_ERROR of those that
+    reach it are wrong (1 if there is none). With nothing held back, 1 and 0."""
+    if not len(y):
+        return 1.0, 0.0
+    target = np.full(z.shape, 1 / (len(y) + 2) / max(1, z.shape[1] - 1))
+    target[np.arange(len(y)), y] = (len(y) + 1) / (len(y) + 2)
+    loss = lambda heat: -(target * np.log(np.maximum(softmax(z * heat), 1e-300))).sum(axis=1).mean()
+    heat = min((2.0**h for h in np.arange(-3, 7.1, 0.5)), key=loss)
+    p = softmax(z * heat)
+    top, right = p.max(axis=1), p.argmax(axis=1) == y
+    able = [t for t in np.sort(top) if 1 - right[top >= t].mean() <= KEPT_ERROR]
+    return float(heat), float(able[0]) if able else 1.0
+
+
+def drawn(labelled: DataFrame) -> list[tuple[str, str]]:
+    """The sample: distinct rows with the least hashes, so reruns take the same and their order has nothing to do with the data. Hashes and
+    lengths are gathered first, so no other texts are moved."""
+    known = labelled.where("text is not null and lang is not null").select("text", "lang", F.xxhash64("text", "lang").alias("_h"))
+    least = known.groupBy("_h").agg(F.max(F.length("text")).alias("n")).orderBy("_h").limit(SAMPLE_DOCS).collect()
+    if not least:
+        return []
+    fit = int(np.searchsorted(np.cumsum([r.n for r in least]), SAMPLE_CHARS, side="right"))
+    last = least[max(1, fit) - 1]["_h"]
+    return [(r.text, r.lang) for r in known.where(F.col("_h") <= last).select("text", "lang").distinct().collect()]
 
 
 def language(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, lang_pred, score, accepted.
 
-    labelled has doc_id, text and lang; texts and languages that are null aren't learned from. lang_pred is the likeliest learned language,
+    labelled has text and lang; texts and languages that are null aren't learned from, equal rows count once, and training
+    that doesn't end in finite numbers is an error. lang_pred is the likeliest learned language,
     und with score 0 for texts that are null or have no letter, and for all if nothing could be learned; accepted is whether the
-    score reaches the calibrated rejection threshold. Empty tables give empty results; other columns are ignored."""
+    score reaches the calibrated rejection threshold. Texts count whole, however long; of languages that are equally likely the first
+    by name is taken. Rows that repeat a doc_id are judged each by its text. Empty tables give empty results; other columns are ignored."""
     spark = docs.sparkSession
     ship(spark)
-    # The sample: doc_ids with the least hashes, so reruns take the same, its order has nothing to do with the data, and no other texts are moved.
-    drawn = labelled.where("lang is not null and doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    sample = labelled.where("text is not null and lang is not null").select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "lang").join(F.broadcast(drawn), "doc_id").select("text", "lang")
-    model = spark.sparkContext.broadcast(train(sorted((r.text, r.lang) for r in sample.collect())))
+    model = spark.sparkContext.broadcast(train(drawn(labelled)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, langs, scores, part, chars = [t or "" for t in batch.column(1).to_pylist()], [], [], [], 0
-            for t in [*texts, None]:
-                if part and (t is None or chars + len(t) > CHUNK):
-                    a, b = model.value.predict(part)
-                    langs += a
-                    scores += b.tolist()
-                    part, chars = [], 0
-                if t is not None:
-                    part.append(t)
-                    chars += len(t)
-            least = model.value.least
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array([s >= least and w != UNKNOWN for s, w in zip(scores, langs, strict=True)], pa.bool_())], ["doc_id", "lang_pred", "score", "accepted"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double, accepted boolean")
+            for at, texts in text_parts(batch, 1, CHUNK):
+                langs, scores = model.value.predict([t or "" for t in texts])
+                kept = (scores >= model.value.least) & np.array([w != UNKNOWN for w in langs], bool)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(kept)], ["doc_id", "lang_pred", "score", "accepted"])
+
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double, accepted boolean")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
