@@ -1,8 +1,8 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick.
 
 Texts are folded first: compatibility forms, homoglyphs and digit substitutions become the letters they stand for. The lexicon is
-learned from labelled texts: words, and word beginnings, that toxic texts have far more often than others, weighted by the
-log-odds. Exception phrases are words with a neighbour that occur in texts that aren't toxic; a match inside one counts nothing. A text's score is
+learned from labelled texts: words, and word beginnings, that toxic texts have more often than chance allows, weighted by the
+log-odds. Exception phrases are words with a neighbour that occur in texts that aren't toxic more often than chance allows for the word; a match inside one counts nothing. A text's score is
 the logistic of the matched weight and of that weight by length, calibrated on the same sample.
 """
 
@@ -13,20 +13,23 @@ import re
 import sys
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fold_of, read, ship
+from .shared import fold_of, give_back, read, ship, text_parts
 
-#: The training sample: at most so many labelled texts of either label, so many characters of each.
-SAMPLE_EACH, SAMPLE_CHARS = 4_000, 20_000
-#: An entry is in at least so many toxic texts, and one in SHARE of them (3 if there are few), with so much log-odds; so many entries at most; beginnings have these lengths.
-LEAST_TEXTS, SHARE, FEW_TEXTS, LEAST_ODDS, ENTRIES, BEGINNINGS = 5, 300, 300, 3.0, 4_000, (4, 5, 6, 7, 8)
-LEAST_EXCEPTIONS = 3
+#: The training sample: at most so many labelled texts of either label, all of them whole, with so many characters together (one text at least).
+SAMPLE_EACH, SAMPLE_CHARS = 4_000, 16_000_000
+#: The chance that any entry, or any exception, comes from nothing, and the least log-odds of an entry; the lengths of beginnings, of whose
+#: occurrences no word makes up more than ONE_WORD; words in more clean texts than a share of COMMON are no entries.
+CHANCE, LEAST_ODDS, BEGINNINGS, ONE_WORD, COMMON = 0.01, 2.0, (4, 5, 6, 7, 8), 0.8, 0.25
+#: Texts are scored in parts of at most so many bytes.
+PART = 1_000_000
 THRESHOLD = 0.7
 
 # Characters that look like Latin letters (Cyrillic, Greek, others), and digits and signs put for letters.
@@ -70,6 +73,18 @@ def words(folded: str) -> list[str]:
     return WORDS.findall(folded)
 
 
+def word_before(folded: str, at: int) -> str:
+    """The last word that ends before that place, however far; empty if there is none."""
+    width = 32
+    while True:
+        start, last = max(0, at - width), None
+        for last in WORDS.finditer(folded, start, at):
+            pass
+        if start == 0 or last is not None and last.start() > start:
+            return last[0] if last else ""
+        width *= 4
+
+
 class Lexicon:
     """weights: entry -> weight; an entry that ends in * is a beginning. exceptions: two words with a space."""
 
@@ -113,8 +128,8 @@ class Lexicon:
                 to += 1
             word = folded[at:to]
             if self.exceptions:
-                before, after = words(folded[max(0, at - 40) : at])[-1:], words(folded[to : to + 40])[:1]
-                if any(f"{b} {word}" in self.exceptions for b in before) or any(f"{word} {a}" in self.exceptions for a in after):
+                after = WORDS.search(folded, to)
+                if f"{word_before(folded, at)} {word}" in self.exceptions or after and f"{word} {after[0]}" in self.exceptions:
                     continue
             found.append((word, w))
         return found
@@ -130,6 +145,41 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
+def unlikely(k: int, n: int, share: float) -> float:
+    """Chernoff's bound on the logarithm of the chance that at least k of n cases fall where a share of all cases is; 0 if k is no more than expected."""
+    q = k / n if n else 0.0
+    if q <= share:
+        return 0.0
+    return -n * (q * math.log(q / share) + ((1 - q) * math.log((1 - q) / (1 - share)) if q < 1 else 0.0))
+
+
+def allowed(totals: Iterable[int], share: float) -> tuple[int, float]:
+    """The least number of texts at which an entry can be told from chance at all, and the bound on the logarithm of its chance. Entries
+    below that number can't pass, so they aren't tried and don't count as tries."""
+    sizes = Counter(totals)
+    tries = sum(sizes.values())
+    for k in range(1, max(sizes, default=0) + 1):
+        if tries and k * math.log(share) <= math.log(CHANCE / tries):
+            return k, math.log(CHANCE / tries)
+        tries -= sizes[k]
+    return max(sizes, default=0) + 1, -math.inf
+
+
+def beginnings(word: str) -> list[str]:
+    return [word[:n] + "*" for n in BEGINNINGS if len(word) > n]
+
+
+def contexts(texts: list[list[str]], entries: set[str]) -> dict[str, int]:
+    """For each entry the number of different neighbours it has: copies of a text, or of a passage, give the same ones."""
+    found: dict[str, set[int]] = {e: set() for e in entries}
+    for own in texts:
+        for k, w in enumerate(own):
+            for e in (w, *beginnings(w)):
+                if e in found:
+                    found[e].add(hash((own[k - 1] if k else "", w, own[k + 1] if k + 1 < len(own) else "")))
+    return {e: len(x) for e, x in found.items()}
+
+
 def learn(rows: list[tuple[str, int]]) -> Lexicon:
     """rows: (text, 0 or 1)."""
     rows = list(dict.fromkeys(rows))  # copies of a text are one case
@@ -140,67 +190,81 @@ def learn(rows: list[tuple[str, int]]) -> Lexicon:
         made = Lexicon({}, set())
         made.line = (6.0 if n1 else -6.0, 0.0, 0.0)
         return made
+    share, odds = n1 / (n0 + n1), lambda k, c: math.log((k + 0.1) / (n1 + 1)) - math.log((c + 0.1) / (n0 + 1))
     toxic, clean = Counter(), Counter()
     for own, y in texts:
-        kinds = set(own)
-        kinds |= {w[:n] + "*" for w in kinds for n in BEGINNINGS if len(w) > n}
-        (toxic if y else clean).update(kinds)
-    odds = lambda e: math.log((toxic[e] + 0.1) / (n1 + 1)) - math.log((clean[e] + 0.1) / (n0 + 1))
-    # Entries by how many toxic texts they explain that better ones don't: a copy of one text gives many words, but explains one case.
-    least = max(LEAST_TEXTS, n1 // SHARE) if n1 >= FEW_TEXTS else 3
-    able = {e: o for e, k in toxic.items() if k >= least and (o := odds(e)) >= LEAST_ODDS}
-    # A beginning that mostly begins one and the same word says no more than the word, and less exactly.
-    one_word: Counter = Counter()
-    for e in able:
-        if not e.endswith("*"):
-            for n in BEGINNINGS:
-                one_word[e[:n] + "*"] = max(one_word[e[:n] + "*"], toxic[e])
-    able = {e: o for e, o in able.items() if not e.endswith("*") or one_word[e] < 0.8 * toxic[e]}
-    holds: dict[str, list[int]] = {e: [] for e in able}
-    for i, (own, y) in enumerate(texts):
-        if y:
-            kinds = set(own)
-            for e in kinds | {w[:n] + "*" for w in kinds for n in BEGINNINGS if len(w) > n}:
-                if e in holds:
-                    holds[e].append(i)
-    explained, weights, entries = set(), {}, sorted(able, key=lambda e: (-len(holds[e]) * able[e], e))
-    while entries and len(weights) < ENTRIES:
-        # Greedy cover with stale gains: gains only fall, so one pass with re-checks finds the best next.
-        best, gain, kept = None, 0, []
-        for e in entries:
-            if best is not None and len(holds[e]) <= gain:
-                kept.append(e)
-                continue
-            own = sum(i not in explained for i in holds[e])
-            if own < max(3, n1 // SHARE):
-                continue
-            kept.append(e)
-            if own > gain or own == gain and best is not None and (able[e], e) > (able[best], best):
-                best, gain = e, own
-        if best is None:
-            break
-        weights[best] = able[best]
-        explained.update(holds[best])
-        entries = [e for e in kept if e != best]
-    # Words of the same strength whose texts the cover already explains still belong to the lexicon if they are frequent.
-    for e, o in able.items():
-        if e not in weights and clean[e] == 0 and toxic[e] >= max(20, 0.01 * n1) and not (e.endswith("*") and any(k.endswith("*") and e.startswith(k[:-1]) for k in weights)):
-            weights[e] = o
-    made = Lexicon(weights, set())
-    good, bad = Counter(), Counter()
+        (toxic if y else clean).update(set(own))
+    least, bound = allowed(toxic.values(), share)
+    able = {w for w, k in toxic.items() if k >= least and k * n0 > clean[w] * n1 and clean[w] <= COMMON * n0}
+    exceptions = exceptions_of(texts, able, toxic, clean)
+    # Texts that have the word, or a word with the beginning, outside exception phrases.
+    toxic, clean = Counter(), Counter()
     for own, y in texts:
-        for k, w in enumerate(own):
-            if w in weights or any(w[:n] + "*" in weights for n in BEGINNINGS):
-                for phrase in {f"{own[k - 1]} {w}"} if k else set():
-                    (bad if y else good)[phrase] += 1
-                for phrase in {f"{w} {own[k + 1]}"} if k + 1 < len(own) else set():
-                    (bad if y else good)[phrase] += 1
-    made.exceptions = {p for p, k in good.items() if k >= LEAST_EXCEPTIONS and bad[p] * 10 <= k}
+        kinds = {w for k, w in enumerate(own) if not excepted(own, k, exceptions)}
+        (toxic if y else clean).update(kinds | {b for w in kinds for b in beginnings(w)})
+    one_word = Counter()
+    for w, k in toxic.items():
+        if not w.endswith("*"):
+            for b in beginnings(w):
+                one_word[b] = max(one_word[b], k)
+    least, bound = allowed(toxic.values(), share)
+    able = {e for e, k in toxic.items() if k >= least and odds(k, clean[e]) >= LEAST_ODDS and unlikely(k, k + clean[e], share) <= bound and one_word[e] <= ONE_WORD * k}
+    varied = contexts([own for own, y in texts if y], able)
+    holds = {e: set() for e in able}
+    for i, (own, y) in enumerate(texts):
+        for e in {e for k, w in enumerate(own) if y and not excepted(own, k, exceptions) for e in (w, *beginnings(w)) if e in able}:
+            holds[e].add(i)
+    chance = lambda e, k: unlikely(min(k, varied[e]), min(k, varied[e]) + clean[e], share)
+    # The least likely entry first, which takes the texts that it explains away from those that follow; numbers of texts only fall, so an
+    # entry whose chance is still the least when it is counted anew is the least of all.
+    weights, explained, queue = {}, set(), [(chance(e, len(holds[e])), e) for e in able]
+    heapify(queue)
+    while queue:
+        _, e = heappop(queue)
+        now = chance(e, len(holds[e] - explained))
+        if now > bound:
+            continue
+        if queue and (now, e) > queue[0]:
+            heappush(queue, (now, e))
+            continue
+        weights[e] = odds(min(toxic[e], varied[e]), clean[e])
+        explained |= holds[e]
+    # Words that pass by themselves belong to the lexicon too, though others explain their texts.
+    for w in able:
+        if not w.endswith("*") and not any(b in weights for b in beginnings(w)) and chance(w, len(holds[w])) <= bound:
+            weights[w] = odds(min(toxic[w], varied[w]), clean[w])
+    made = Lexicon({e: weights[e] for e in sorted(weights)}, {p for p in exceptions if any(e in weights for w in p.split(" ") for e in (w, *beginnings(w)))})
     x = np.array([made.features(t) for t, _ in rows])
     made.line = logistic(x, np.array([y for _, y in rows]))
     return made
 
 
+def excepted(own: list[str], k: int, exceptions: set[str]) -> bool:
+    return bool(exceptions) and (k > 0 and f"{own[k - 1]} {own[k]}" in exceptions or k + 1 < len(own) and f"{own[k]} {own[k + 1]}" in exceptions)
+
+
+def exceptions_of(texts: list[tuple[list[str], int]], able: set[str], toxic: Counter, clean: Counter) -> set[str]:
+    """Phrases of an able word and a neighbour that clean texts have more often than chance allows, going by the word alone."""
+    good, bad = Counter(), Counter()
+    for own, y in texts:
+        (bad if y else good).update(_phrases(own, able, clean))
+    share = {w: clean[w] / (clean[w] + toxic[w]) for w in able}
+    tries = len(good)
+    return {p for (w, p), k in good.items() if unlikely(k, k + bad[w, p], share[w]) <= math.log(CHANCE / tries)}
+
+
+def _phrases(own: list[str], able: set[str], clean: Counter) -> set[tuple[str, str]]:
+    """(able word, phrase) for each able word that clean texts have, with the word before and the word behind."""
+    found = set()
+    for k, w in enumerate(own):
+        if w in able and clean[w]:
+            if k:
+                found.add((w, f"{own[k - 1]} {w}"))
+            if k + 1 < len(own):
+                found.add((w, f"{w} {own[k + 1]}"))
+    return found
+
+
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     """Ridge-regularised logistic regression by Newton's method, slopes not negative."""
     X, beta = np.column_stack([np.ones(len(x)), x]), np.zeros(x.shape[1] + 1)
@@ -226,15 +290,24 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 def fit_lexicon(texts: DataFrame, labels: DataFrame) -> Lexicon:
     """texts: doc_id, text; labels: doc_id, toxic, of which null ones aren't learned from.
 
-    The sample is drawn from doc_ids alone, those with the least hashes of either label, so only the sample's texts are moved."""
-    known = labels.where("toxic is not null and doc_id is not null").select("doc_id", (F.col("toxic") > 0).cast("int").alias("y")).join(texts.select("doc_id"), "doc_id", "left_semi")
+    The sample is drawn from doc_ids alone, those with the least hashes of either label, so only the sample's texts are moved; where
+    these ids repeat, the same bounds hold for their texts."""
+    known = labels.where("toxic is not null and doc_id is not null").select("doc_id", (F.col("toxic") > 0).cast("int").alias("y")).distinct().join(texts.select("doc_id"), "doc_id", "left_semi")
     n = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
-    drawn = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_EACH) for y in (0, 1)]
-    found = texts.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(drawn[0].unionAll(drawn[1])), "doc_id")
-    rows = sorted((r.text, r.y) for r in found.select("text", "y").collect())
-    made = learn(rows)
-    if len(n) == 2:  # the sample has other shares of the labels than the rows it stands for
-        sampled = {y: min(n[y], SAMPLE_EACH) for y in n}
+    ids = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_EACH) for y in (0, 1)]
+    found = texts.join(F.broadcast(ids[0].unionAll(ids[1])), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "y").withColumn("_h", F.xxhash64("text"))
+    sizes, rows = found.groupBy("y", "_h").agg(F.max(F.length("text")).alias("n")), []
+    last = {}
+    for y in (0, 1):
+        least = sizes.where(F.col("y") == y).orderBy("_h").limit(SAMPLE_EACH).collect()
+        if least:
+            fit = int(np.searchsorted(np.cumsum([r.n for r in least]), SAMPLE_CHARS, side="right"))
+            last[y] = least[max(1, fit) - 1]["_h"]
+    for y, h in last.items():
+        rows += [(r.text, y) for r in found.where((F.col("y") == y) & (F.col("_h") <= h)).select("text").distinct().collect()]
+    made = learn(sorted(rows))
+    if len(n) == 2 and len(last) == 2:  # the sample has other shares of the labels than the rows it stands for
+        sampled = {y: sum(z == y for _, z in rows) for y in n}
         shift = math.log((n[1] / n[0]) / (sampled[1] / sampled[0]))
         made.line = (made.line[0] + shift, *made.line[1:])
     return made
@@ -242,23 +315,26 @@ def fit_lexicon(texts: DataFrame, labels: DataFrame) -> Lexicon:
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """All columns of docs and last a score, 0 to 1: toxic_score, with underscores behind if docs has that name. Null texts count as
-    empty; scores depend on the text alone. labels: doc_id of docs, toxic. With no labels, or one kind of label only, there is
-    no lexicon and all scores are the same."""
+    empty; texts are scored whole, however long, and scores depend on the text alone, so rows that repeat score alike. labels: doc_id
+    of docs, toxic; an id with both labels counts as both. With no labels, or one kind of label only, there is
+    no lexicon and all scores are the same. An empty table gives an empty result. Only texts go to Python, and only scores come back."""
     spark = docs.sparkSession
     ship(spark)
     lexicon = spark.sparkContext.broadcast(fit_lexicon(docs.select("doc_id", "text"), labels))
-    name, at = "toxic_score", docs.columns.index("text")
+    name = "toxic_score"
     while name in map(str.lower, docs.columns):
         name += "_"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = [lexicon.value.score(t) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, name])
-
-    from pyspark.sql.types import DoubleType, StructType
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for texts in batches:
+                batch = pa.RecordBatch.from_arrays([texts], ["text"])
+                yield pa.array([lexicon.value.score(t) for _, part in text_parts(batch, 0, PART) for t in part], pa.float64())
+        finally:
+            give_back()
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(name, DoubleType()))
+    return docs.select("*", scored(F.col("text")).alias(name))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
