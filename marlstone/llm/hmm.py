@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Stash, fold_of, read, ship
+from .shared import Stash, fold_of, read, ship, text_parts, tidied
 from .wordhash import word_hashes
 
 STATES, CLASS_BITS, PASSES = 8, 13, 6
@@ -139,23 +139,15 @@ def refit(start: np.ndarray, moves: np.ndarray, emit: np.ndarray, mass: np.ndarr
     return Model(start, moves, ratios(emit + prior, mass))
 
 
-def _texts(batch: pa.RecordBatch, column: int, most: int = 2_000_000) -> Iterator[tuple[int, list]]:
-    """Texts of a batch in parts of so many characters: the place of the first, and the texts."""
-    texts, at = batch.column(column).to_pylist(), 0
-    while at < len(texts):
-        to, chars = at, 0
-        while to < len(texts) and (to == at or chars < most):
-            chars += len(texts[to] or "")
-            to += 1
-        yield at, texts[at:to]
-        at = to
+#: Texts are taken in parts of at most so many bytes.
+PART = 2_000_000
 
 
 def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashes of tokens with counts; partial: what a worker holds is bounded."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
-        for _, texts in _texts(batch, 0):
+        for _, texts in text_parts(batch, 0, PART):
             held.append(np.unique(tokens_of(texts)[0], return_counts=True))
             if sum(len(h) for h, _ in held) > 2_000_000:
                 yield _summed(held)
@@ -173,7 +165,7 @@ def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as classes, two bytes each."""
     for batch in batches:
-        for _, part in _texts(batch, 0):
+        for _, part in text_parts(batch, 0, PART):
             flat, sizes = tokens_of(part)
             seq = class_of(flat).astype("<u2")
             rows = [seq[e - n : e].tobytes() for e, n in zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True)]
@@ -215,10 +207,10 @@ def train(texts: DataFrame, mass: np.ndarray, stash: Stash, states: int = STATES
     """Baum-Welch over all texts; mass: the unigram probability of each class. Also the log-likelihood (over the base) at each pass."""
     spark = texts.sparkSession
     model, likes = first_model(mass, states, stay), []
-    seqs = stash.keep(texts.select("text").mapInArrow(_sequences, "seq binary"), "sequences")
+    seqs = stash.keep(texts.select("text").mapInArrow(tidied(_sequences), "seq binary"), "sequences")
     for _ in range(passes):
         now = spark.sparkContext.broadcast(model)
-        partial = seqs.mapInArrow(_expecting(now), EXPECTED).withColumn("group", F.spark_partition_id() % 16)
+        partial = seqs.mapInArrow(tidied(_expecting(now)), EXPECTED).withColumn("group", F.spark_partition_id() % 16)
         # Summed in two steps, so that neither a task nor the driver holds more than a few of the partitions' counts.
         first = partial.groupBy("state", "group").applyInPandas(_adding, EXPECTED)
         rows = sorted(first.groupBy("state").applyInPandas(_adding, EXPECTED).collect(), key=lambda r: r.state)
@@ -239,7 +231,7 @@ def score(docs: DataFrame, training: DataFrame, stash: Stash | None = None, stat
     spark = docs.sparkSession
     ship(spark)
     stash = stash or Stash(spark)
-    vocabulary = stash.keep(training.select("text").mapInArrow(_counting, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "vocabulary")
+    vocabulary = stash.keep(training.select("text").mapInArrow(tidied(_counting), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "vocabulary")
     facts = vocabulary.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = facts.n or 0, facts.v
     below = n + 0.5 * (v + 1)
@@ -253,7 +245,7 @@ def score(docs: DataFrame, training: DataFrame, stash: Stash | None = None, stat
     kind = dict(docs.dtypes)["doc_id"]
 
     # First pass: tokens, and what the broadcast table says; the words it lacks come as a list for each document.
-    looked = docs.select("doc_id", "text").mapInArrow(_looking_up(often), f"doc_id {kind}, n_tokens long, n_hit long, base double, seq binary, spots binary, which binary, h array<long>, times array<int>")
+    looked = docs.select("doc_id", "text").mapInArrow(tidied(_looking_up(often)), f"doc_id {kind}, n_tokens long, n_hit long, base double, seq binary, spots binary, which binary, h array<long>, times array<int>")
     looked = stash.keep(looked.withColumn("row", F.monotonically_increasing_id()), "looked")
     each = looked.select("row", F.posexplode(F.arrays_zip("h", "times")).alias("i", "w")).select("row", "i", "w.h", "w.times")
     # These words are rare: none makes up more than one in FREQUENT of the training tokens. Words that training lacks stay without a count.
@@ -262,7 +254,7 @@ def score(docs: DataFrame, training: DataFrame, stash: Stash | None = None, stat
     rest = stash.keep(rest, "rest")
     # Second pass: the forward recursion, now that unknown words are known as such.
     whole = looked.drop("h", "times").join(rest, "row", "left").select("doc_id", "n_tokens", "n_hit", "base", "seq", "spots", "which", "rare_base", "rare", "unknown")
-    gained = whole.mapInArrow(_recursion(states_), f"doc_id {kind}, n_tokens long, n_hit long, base double, rare_base double, rare long, gain double")
+    gained = whole.mapInArrow(tidied(_recursion(states_)), f"doc_id {kind}, n_tokens long, n_hit long, base double, rare_base double, rare long, gain double")
     n_known = F.col("n_hit") + F.coalesce("rare", F.lit(0))
     unknown = F.col("n_tokens") - n_known
     base = F.col("base") + F.coalesce("rare_base", F.lit(0.0)) + unknown * float(np.log10(0.5)) - F.col("n_tokens") * float(np.log10(below))
@@ -273,7 +265,7 @@ def _looking_up(table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = table.value
         for batch in batches:
-            for at, texts in _texts(batch, 1):
+            for at, texts in text_parts(batch, 1, PART):
                 flat, sizes = tokens_of(texts)
                 h, inv = np.unique(flat, return_inverse=True)
                 spot = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))

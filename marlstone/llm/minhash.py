@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SMALL_ROWS, Stash, components, read, ship
+from .shared import SMALL_ROWS, Stash, components, read, ship, text_parts, tidied
 from .wordhash import mixed, word_hashes
 
 COORDINATES = 64
@@ -28,6 +28,8 @@ COORDINATES = 64
 MISS = 1e-5
 #: Rounds of comparing with the most central document; members of a posting in one block of the comparison that follows.
 ROUNDS, BLOCK = 2, 1024
+#: Texts are taken in parts of at most so many bytes.
+PART = 1_000_000
 _rng = np.random.default_rng(20240229)
 MULTIPLY = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64)
@@ -76,21 +78,11 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _in_parts(batch: pa.RecordBatch, most: int = 1_000_000) -> Iterator[tuple[list, list]]:
-    ids, texts, at = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0
-    while at < len(ids):
-        to, chars = at, 0
-        while to < len(ids) and (to == at or chars < most):
-            chars += len(texts[to] or "")
-            to += 1
-        yield ids[at:to], texts[at:to]
-        at = to
-
-
 def _signer(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, texts in _in_parts(batch):
+            for at, texts in text_parts(batch, 1, PART):
+                ids = batch.column(0).slice(at, len(texts))
                 sets = shingle_sets(texts, width)
                 some = [i for i, s in enumerate(sets) if len(s)]
                 sig: list[bytes | None] = [None] * len(ids)
@@ -98,7 +90,7 @@ def _signer(width: int):
                     sig[i] = row.astype("<u4").tobytes()
                 both = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 h = np.frombuffer(b"".join(both), ">i8").reshape(-1, 2).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(sig, pa.binary())], ["doc_id", "n", "h1", "h2", "sig"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(sig, pa.binary())], ["doc_id", "n", "h1", "h2", "sig"])
 
     return run
 
@@ -106,8 +98,8 @@ def _signer(width: int):
 def _setter(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, texts in _in_parts(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.astype("<u8").tobytes() for s in shingle_sets(texts, width)], pa.binary())], ["rep", "shingles"])
+            for at, texts in text_parts(batch, 1, PART):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([s.astype("<u8").tobytes() for s in shingle_sets(texts, width)], pa.binary())], ["rep", "shingles"])
 
     return run
 
@@ -209,14 +201,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     stash = stash or Stash(spark)
     num, den = similarity
     least = matches_for(num / den)
-    signed = stash.keep(docs.select("doc_id", "text").mapInArrow(_signer(width), "doc_id long, n long, h1 long, h2 long, sig binary"), "signed")
+    signed = stash.keep(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidied(_signer(width)), "doc_id long, n long, h1 long, h2 long, sig binary"), "signed")
     some = signed.where("n > 0 and doc_id is not null")
     classes = stash.keep(some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")).where("rows > 1").drop("rows"), "classes")
     members = stash.keep(signed.join(classes, ["h1", "h2"], "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"), "sig"), "members")
     stash.drop("signed")
     reps = members.where("doc_id = rep and n > 0").select("rep", "n", "sig")
 
-    posts = reps.select("rep", "sig").mapInArrow(_post, "rep long, post long")
+    posts = reps.select("rep", "sig").mapInArrow(tidied(_post), "rep long, post long")
     posts = stash.keep(posts, "posts")
     shared = stash.keep(posts.groupBy("post").agg(F.count("*").alias("df")).where("df > 1"), "shared")
     lists = posts.join(shared, "post").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "post"))).alias("own"))
@@ -231,7 +223,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
 
     wanted = stash.keep(buckets.select("rep").distinct(), "wanted")
     few = F.broadcast(wanted) if wanted.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else wanted
-    sets = stash.keep(docs.select("doc_id", "text").join(few, F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", "text").mapInArrow(_setter(width), "rep long, shingles binary"), "sets")
+    sets = stash.keep(docs.select("doc_id", "text").join(few, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").cast("long"), "text").mapInArrow(tidied(_setter(width)), "rep long, shingles binary"), "sets")
     sigs = stash.keep(reps.join(few, "rep", "left_semi").select("rep", "sig").distinct(), "sigs")
 
     def side(table: DataFrame, value: str, c: str) -> DataFrame:
@@ -239,9 +231,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
 
     def confirm(pairs: DataFrame, name: str) -> DataFrame:
         pairs = stash.keep(pairs.select("a", "b").distinct(), f"pairs-{name}")
-        agree = pairs.join(side(sigs, "sig", "a"), "a").join(side(sigs, "sig", "b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_agreeing(least), "a long, b long")
+        agree = pairs.join(side(sigs, "sig", "a"), "a").join(side(sigs, "sig", "b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(tidied(_agreeing(least)), "a long, b long")
         full = agree.join(side(sets, "shingles", "a"), "a").join(side(sets, "shingles", "b"), "b").select("a", "b", "shingles_a", "shingles_b")
-        return stash.keep(full.mapInArrow(_confirmed(num, den), "a long, b long").distinct(), f"links-{name}")
+        return stash.keep(full.mapInArrow(tidied(_confirmed(num, den)), "a long, b long").distinct(), f"links-{name}")
 
     def placed(found: DataFrame) -> DataFrame:
         return buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("post", "rep", "n", "central", F.coalesce("component", "rep").alias("component"))
