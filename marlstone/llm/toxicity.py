@@ -8,6 +8,7 @@ the logistic of the matched weight and of that weight by length, calibrated on t
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import sys
@@ -18,13 +19,13 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import fold_of, give_back, read, ship, text_parts
 
 #: The training sample: at most so many labelled texts of either label, all of them whole, with so many characters together (one text at least).
-SAMPLE_EACH, SAMPLE_CHARS = 4_000, 16_000_000
+SAMPLE_EACH, SAMPLE_CHARS = 2_000, 8_000_000
 #: The chance that any entry, or any exception, comes from nothing, and the least log-odds of an entry; the lengths of beginnings, of whose
 #: occurrences no word makes up more than ONE_WORD; words in more clean texts than a share of COMMON are no entries.
 CHANCE, LEAST_ODDS, BEGINNINGS, ONE_WORD, COMMON = 0.01, 2.0, (4, 5, 6, 7, 8), 0.8, 0.25
@@ -191,28 +192,28 @@ def learn(rows: list[tuple[str, int]]) -> Lexicon:
         made.line = (6.0 if n1 else -6.0, 0.0, 0.0)
         return made
     share, odds = n1 / (n0 + n1), lambda k, c: math.log((k + 0.1) / (n1 + 1)) - math.log((c + 0.1) / (n0 + 1))
-    toxic, clean = Counter(), Counter()
-    for own, y in texts:
-        (toxic if y else clean).update(set(own))
+    # Clean texts are counted for what toxic ones have often enough to tell, which is little beside all words.
+    toxic = Counter(w for own, y in texts if y for w in set(own))
     least, bound = allowed(toxic.values(), share)
-    able = {w for w, k in toxic.items() if k >= least and k * n0 > clean[w] * n1 and clean[w] <= COMMON * n0}
+    toxic = Counter({w: k for w, k in toxic.items() if k >= least})
+    clean = Counter(w for own, y in texts if not y for w in set(own) if w in toxic)
+    able = {w for w, k in toxic.items() if k * n0 > clean[w] * n1 and clean[w] <= COMMON * n0}
     exceptions = exceptions_of(texts, able, toxic, clean)
     # Texts that have the word, or a word with the beginning, outside exception phrases.
-    toxic, clean = Counter(), Counter()
-    for own, y in texts:
-        kinds = {w for k, w in enumerate(own) if not excepted(own, k, exceptions)}
-        (toxic if y else clean).update(kinds | {b for w in kinds for b in beginnings(w)})
-    one_word = Counter()
+    kinds = lambda own: {e for k, w in enumerate(own) if not excepted(own, k, exceptions) for e in (w, *beginnings(w))}
+    toxic, one_word = Counter(e for own, y in texts if y for e in kinds(own)), Counter()
     for w, k in toxic.items():
         if not w.endswith("*"):
             for b in beginnings(w):
                 one_word[b] = max(one_word[b], k)
     least, bound = allowed(toxic.values(), share)
-    able = {e for e, k in toxic.items() if k >= least and odds(k, clean[e]) >= LEAST_ODDS and unlikely(k, k + clean[e], share) <= bound and one_word[e] <= ONE_WORD * k}
+    toxic = Counter({e: k for e, k in toxic.items() if k >= least and one_word[e] <= ONE_WORD * k})
+    clean = Counter(e for own, y in texts if not y for e in kinds(own) if e in toxic)
+    able = {e for e, k in toxic.items() if odds(k, clean[e]) >= LEAST_ODDS and unlikely(k, k + clean[e], share) <= bound}
     varied = contexts([own for own, y in texts if y], able)
     holds = {e: set() for e in able}
     for i, (own, y) in enumerate(texts):
-        for e in {e for k, w in enumerate(own) if y and not excepted(own, k, exceptions) for e in (w, *beginnings(w)) if e in able}:
+        for e in kinds(own) & able if y else ():
             holds[e].add(i)
     chance = lambda e, k: unlikely(min(k, varied[e]), min(k, varied[e]) + clean[e], share)
     # The least likely entry first, which takes the texts that it explains away from those that follow; numbers of texts only fall, so an
@@ -292,19 +293,24 @@ def fit_lexicon(texts: DataFrame, labels: DataFrame) -> Lexicon:
 
     The sample is drawn from doc_ids alone, those with the least hashes of either label, so only the sample's texts are moved; where
     these ids repeat, the same bounds hold for their texts."""
-    known = labels.where("toxic is not null and doc_id is not null").select("doc_id", (F.col("toxic") > 0).cast("int").alias("y")).distinct().join(texts.select("doc_id"), "doc_id", "left_semi")
-    n = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
-    ids = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_EACH) for y in (0, 1)]
-    found = texts.join(F.broadcast(ids[0].unionAll(ids[1])), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "y").withColumn("_h", F.xxhash64("text"))
-    sizes, rows = found.groupBy("y", "_h").agg(F.max(F.length("text")).alias("n")), []
-    last = {}
-    for y in (0, 1):
-        least = sizes.where(F.col("y") == y).orderBy("_h").limit(SAMPLE_EACH).collect()
-        if least:
-            fit = int(np.searchsorted(np.cumsum([r.n for r in least]), SAMPLE_CHARS, side="right"))
-            last[y] = least[max(1, fit) - 1]["_h"]
-    for y, h in last.items():
-        rows += [(r.text, y) for r in found.where((F.col("y") == y) & (F.col("_h") <= h)).select("text").distinct().collect()]
+    spark, kind = texts.sparkSession, texts.schema["doc_id"].dataType.simpleString()
+    known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast(kind), (F.col("toxic") > 0).cast("int").alias("y")).distinct().join(texts.select("doc_id"), "doc_id", "left_semi")
+    rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    drawn = known.select("doc_id", "y", rank.alias("rank"), F.count("*").over(Window.partitionBy("y")).alias("n")).where(F.col("rank") <= SAMPLE_EACH).collect()
+    n = {r.y: r.n for r in drawn}
+    ids = spark.createDataFrame([(r.doc_id, r.y) for r in drawn], f"doc_id {kind}, y int")
+    found = texts.join(F.broadcast(ids), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "y").withColumn("_h", F.xxhash64("text"))
+    place = F.row_number().over(Window.partitionBy("y").orderBy("_h"))
+    sizes = found.groupBy("y", "_h").agg(F.max(F.length("text")).alias("n")).withColumn("place", place).where(F.col("place") <= SAMPLE_EACH).orderBy("y", "place").collect()
+    last, taken = {}, Counter()
+    for r in sizes:
+        if not taken[r.y] or taken[r.y] + r.n <= SAMPLE_CHARS:
+            last[r.y] = r["_h"]
+        taken[r.y] += r.n
+    rows = []
+    if last:
+        fits = functools.reduce(lambda a, b: a | b, [(F.col("y") == y) & (F.col("_h") <= h) for y, h in last.items()])
+        rows = [(r.text, r.y) for r in found.where(fits).select("text", "y").distinct().collect()]
     made = learn(sorted(rows))
     if len(n) == 2 and len(last) == 2:  # the sample has other shares of the labels than the rows it stands for
         sampled = {y: sum(z == y for _, z in rows) for y in n}
@@ -321,6 +327,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     lexicon = spark.sparkContext.broadcast(fit_lexicon(docs.select("doc_id", "text"), labels))
+    give_back()
     name = "toxic_score"
     while name in map(str.lower, docs.columns):
         name += "_"
