@@ -56,6 +56,8 @@ class Engine:
         self.spark, self.gate, self.host = spark, Gate(permits), HostTables(spark)
         self._tables: dict[str, DataFrame] = {}
         self._views: dict[str, DataFrame] = {}
+        self._text_functions: set[str] = set()
+        self._solved = 0
         install(spark)
 
     # Tables
@@ -97,6 +99,7 @@ class Engine:
 
     def register_text_function(self, name: str, arity: int, f: Callable[..., str | None]) -> None:
         register_text_function(self.spark, name, arity, f)
+        self._text_functions.add(name.lower())
 
     def view(self, name: str, text: str) -> None:
         """A view over earlier tables and views; it may replace a view, never a table."""
@@ -121,7 +124,7 @@ class Engine:
 
     # Statements
     def sql(self, text: str) -> DataFrame:
-        """The answer as a frame; nothing runs yet. Only tables of this engine can be named."""
+        """The answer as a frame; nothing runs yet, but for recursive queries that keep distinct rows. Only tables of this engine can be named."""
         explain = text.lstrip()[:7].lower() == "explain"
         body = text.lstrip()[7:] if explain else text
         try:
@@ -129,19 +132,36 @@ class Engine:
             frames = {**self._tables, **self.host.tables, **self._views}
             if any(t.startswith("information_schema.") for t in wanted):
                 frames["information_schema.tables"], frames["information_schema.columns"] = self.information_schema()
-                for t in ("tables", "columns"):
-                    body = body.replace(f"information_schema.{t}", f"information_schema_{t}")
             for name in sorted(wanted):
                 if name not in frames:
                     raise NotAllowed(f"no table {name}")
-                frames[name].createOrReplaceTempView(name.replace(".", "_"))
-            df = self.spark.sql(spark_sql(body))
+                frames[name].createOrReplaceTempView(f"`{name.replace('.', '_')}`")
+            df = self.spark.sql(spark_sql(body, self.spark, self._solve, self._text_functions))
             return self.spark.createDataFrame([(df._jdf.queryExecution().toString(),)], "plan string") if explain else df
         except EngineError:
             raise
         except Exception as e:
             raise restated(e) from e
 
+    def _solve(self, name: str, columns: list[str], start: str, head: str, step: str) -> str:
+        """The view that holds a recursive query's distinct rows: its step is run over new rows until none is new."""
+        from .operators.recursion import fixpoint
+
+        first = self.spark.sql(start)
+        if columns:
+            first = first.toDF(*columns)
+        self._solved += 1
+        made = f"_solved_{id(self)}_{self._solved}"
+
+        def once(new: DataFrame) -> DataFrame:
+            new.createOrReplaceTempView(f"`{name}`")
+            out = self.spark.sql(head + step).toDF(*first.columns)
+            return out.select(*[out[c].cast(f.dataType).alias(f.name) for c, f in zip(out.columns, first.schema, strict=True)])
+
+        fixpoint(first, once).createOrReplaceTempView(made)
+        self.spark.catalog.dropTempView(name)
+        return made
+
     def answer(self, text: str, limits: Limits = Limits()) -> list:
         """Rows, within the limits. Statements wait for their turn at the gate."""
         with self.gate.admitted():

@@ -1,312 +1,43 @@
-"""DuckDB's spelling of a statement as Spark's: what the two say differently, by tokens; expressions are left to Spark's parser."""
+"""DuckDB's statements as Spark SQL."""
 
 from __future__ import annotations
 
-import re
-
-from ..errors import NotAllowed, ParseError, PlanError
-
-_TOKEN = re.compile(r"""(?P<space>\s+|--[^\n]*|/\*.*?\*/)|(?P<text>'(?:[^']|'')*')|(?P<name>"(?:[^"]|"")*"|`(?:[^`]|``)*`)|(?P<number>0[xX][0-9a-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][+-]?\d+)?|\.\d+)|(?P<word>[A-Za-z_]\w*)|(?P<op>\^@|//|::|:=|->>|->|=>|<>|!=|<=|>=|==|<<|>>|\|\||[-+*/%(),.;=<>\[\]{}:&|^~?!@#$])""", re.S)
-
-#: Functions that only have another name in Spark.
-RENAMED = {
-    "list_transform": "transform", "array_transform": "transform", "list_filter": "filter", "array_filter": "filter", "list_distinct": "array_distinct", "list_contains": "array_contains",
-    "list_concat": "concat", "list_append": "array_append", "list_position": "array_position", "list_max": "array_max", "list_min": "array_min", "list_value": "array", "list_sort": "array_sort",
-    "len": "length", "arg_max": "max_by", "arg_min": "min_by", "list": "collect_list", "array_agg": "collect_list", "json_extract_string": "get_json_object", "json_extract": "get_json_object",
-    "regexp_matches": "regexp_like", "ends_with": "endswith", "starts_with": "startswith", "split_part": "duck_split_part", "str_split": "string_split", "string_to_array": "string_split",
-    "regexp_extract_all": "regexp_extract_all", "to_timestamp": "timestamp_seconds", "sha256": "sha2_256", "error": "raise_error", "generate_series": "sequence", "epoch": "epoch_of", "log": "log10",
-}
-#: Functions refused by name, as the engine's surface says.
-REFUSED = {"strptime", "list_aggregate", "array_aggregate", "approx_count_distinct", "read_parquet", "read_csv", "read_csv_auto", "read_json", "read_text", "read_blob", "glob", "parquet_scan", "input_file_name", "input_file_block_start", "input_file_block_length", "java_method", "reflect", "try_reflect", "read_files", "getenv"}
-_DEEPEST, _MOST_TERMS = 64, 1024
-_ENDS = {"limit", "offset", "rows", "range", "groups", "window", "qualify", "union", "intersect", "except", "fetch", "having", "where"}
-
-
-def tokens(text: str) -> list[str]:
-    """Tokens without space and comments."""
-    out, at = [], 0
-    while at < len(text):
-        m = _TOKEN.match(text, at)
-        if not m:
-            raise ParseError(f"can't read {text[at : at + 20]!r}")
-        if m.lastgroup != "space":
-            out.append(m[0])
-        at = m.end()
-    return out
-
-
-def guard(parts: list[str]) -> None:
-    """Refuses what lies outside the surface, by its words."""
-    low = [p.lower() for p in parts]
-    if not low:
-        raise ParseError("an empty statement")
-    if ";" in low[:-1]:
-        raise NotAllowed("one statement at a time")
-    if low[0] not in ("select", "with", "values", "from", "explain", "("):
-        raise NotAllowed(f"{parts[0].upper()} isn't a query")
-    depth = deepest = 0
-    for p in parts:
-        depth += (p in "([{") - (p in ")]}")
-        deepest = max(deepest, depth)
-    if deepest > _DEEPEST or sum(p in ("and", "or", "+", "-", "*", "||") for p in low) > _MOST_TERMS:
-        raise PlanError("the statement is too deep or has too many terms")
-    for i, p in enumerate(low):
-        after = low[i + 1] if i + 1 < len(low) else ""
-        if p in REFUSED and after == "(":
-            raise NotAllowed(f"function {p} isn't allowed")
-        if p in ("pivot", "unpivot") or p == "glob" and after.startswith("'") or p == "columns" and after == "(":
-            raise PlanError(f"{p.upper()} isn't supported")
-        if p in ("from", "join") and (after[:1] == "'" or after in ("parquet", "csv", "json", "orc", "text", "binaryfile", "delta") and low[i + 2 : i + 3] == ["."]):
-            raise NotAllowed("files can't be read by name")
-        if p == "by" and low[i - 1] == "order" and re.fullmatch(r"'.*'|\d*\.\d+", after, re.S):
-            raise PlanError("ORDER BY a literal that isn't an ordinal")
-
-
-def spark_sql(text: str) -> str:
-    """The statement for Spark."""
-    parts = [p for p in tokens(text)]
-    while parts and parts[-1] == ";":
-        parts.pop()
-    guard(parts)
-    out: list[str] = []
-    for i, p in enumerate(parts):
-        low, after = p.lower(), parts[i + 1].lower() if i + 1 < len(parts) else ""
-        if p.startswith('"'):
-            p = "`" + p[1:-1].replace('""', '"').replace("`", "``") + "`"
-        elif p.startswith("'"):
-            p = "'" + p[1:-1].replace("\\", "\\\\").replace("''", "\\'") + "'"
-        elif low == "exclude" and after == "(":
-            p = "EXCEPT"
-        elif low == "materialized" and out and out[-1].lower() == "as" and after == "(":
-            continue
-        elif low == "lambda":
-            continue
-        elif low in ("hugeint", "bignum", "varint"):
-            p = "DECIMAL(38,0)"
-        elif low in ("varchar", "text") and out and out[-1].lower() in ("as", "::"):
-            p = "STRING"
-        elif low in RENAMED and after == "(":
-            p = RENAMED[low]
-        elif low == "substr" and after == "(" or low == "substring" and after == "(" and _arity(parts, i + 1) == 3:
-            p = "duck_substring"
-        elif p == "==":
-            p = "="
-        out.append(p)
-    out = _lambdas(_comprehensions(_brackets(out)))
-    out = _operators(_reduced(out))
-    out = _nulls_last(_distinct_on(_qualify(out)))
-    return " ".join(out)
-
-
-def _close(parts: list[str], at: int) -> int:
-    """The place of what closes the bracket at that place."""
-    depth = 0
-    for i in range(at, len(parts)):
-        depth += (parts[i] in ("(", "[", "{")) - (parts[i] in (")", "]", "}"))
-        if depth == 0:
-            return i
-    raise ParseError("a bracket isn't closed")
-
-
-def _arity(parts: list[str], at: int) -> int:
-    end, depth, n = _close(parts, at), 0, 1
-    for p in parts[at + 1 : end]:
-        depth += (p in ("(", "[", "{")) - (p in (")", "]", "}"))
-        n += p == "," and depth == 0
-    return n
-
-
-def _lambdas(parts: list[str]) -> list[str]:
-    """lambda a, b: e becomes (a, b) -> e; the word lambda is gone by now, so x : and a , x : after ( or , are what is left."""
-    out = list(parts)
-    i = 0
-    while i < len(out):
-        if out[i] == ":" and i and re.fullmatch(r"[A-Za-z_]\w*", out[i - 1]):
-            start = i - 1
-            while start >= 2 and out[start - 1] == "," and re.fullmatch(r"[A-Za-z_]\w*", out[start - 2]) and out[start - 3] == ",":
-                start -= 2
-            names = out[start:i]
-            made = [*names, "->"] if len(names) == 1 else ["(", *names, ")", "->"]
-            out[start : i + 1] = made
-            i = start + len(made) - 1
-        i += 1
-    return out
-
-
-def _brackets(parts: list[str]) -> list[str]:
-    """List literals [a, b] become array(a, b); comprehensions and indexes stay."""
-    out = list(parts)
-    i = 0
-    while i < len(out):
-        indexed = i and (out[i - 1] in (")", "]") or re.fullmatch(r"[A-Za-z_`]\w*`?", out[i - 1]) and out[i - 1].lower() not in ("select", "in", "then", "else", "when", "and", "or", "not", "by", "as", "if", "for", "from", "distinct"))
-        if out[i] == "[" and not indexed:
-            end = _close(out, i)
-            if not any(p.lower() == "for" for p in out[i:end]):
-                out[end] = ")"
-                out[i : i + 1] = ["array", "("]
-        elif out[i] == "[":
-            end = _close(out, i)
-            out[end : end + 1] = [")"]
-            start = i - 1
-            if out[start] == ")":
-                depth = 0
-                while True:
-                    depth += (out[start] in (")",)) - (out[start] in ("(",))
-                    if depth == 0:
-                        break
-                    start -= 1
-                if start and re.fullmatch(r"[A-Za-z_]\w*", out[start - 1]):
-                    start -= 1
-            while start >= 2 and out[start - 1] == ".":
-                start -= 2
-            out[i : i + 1] = [","]
-            out[start:start] = ["try_element_at", "("]
-            i += 2
-        i += 1
-    return out
-
-
-def _comprehensions(parts: list[str]) -> list[str]:
-    """[e FOR x IN l IF p] becomes transform(filter(l, x -> p), x -> e)."""
-    out = list(parts)
-    while "[" in out:
-        i = len(out) - 1 - out[::-1].index("[")
-        end = _close(out, i)
-        inner = out[i + 1 : end]
-        low = [p.lower() for p in inner]
-        if "for" not in low or "in" not in low:
-            raise ParseError("a list that can't be read")
-        f, n = low.index("for"), low.index("in", low.index("for"))
-        cond = low.index("if", n) if "if" in low[n:] else len(inner)
-        name, source = inner[f + 1], inner[n + 1 : cond]
-        if cond < len(inner):
-            source = ["filter", "(", *source, ",", name, "->", *inner[cond + 1 :], ")"]
-        out[i : end + 1] = ["transform", "(", *source, ",", name, "->", *inner[:f], ")"]
-    return out
-
-
-def _operators(parts: list[str]) -> list[str]:
-    """a ^@ b becomes startswith(a, b) and a // b becomes duck_div(a, b), for operands that are one name, literal or call."""
-    out = list(parts)
-    for op, name in (("^@", "startswith"), ("//", "duck_div")):
-        while op in out:
-            i = out.index(op)
-            start = i - 1
-            if out[start] == ")":
-                depth = 0
-                while True:
-                    depth += (out[start] == ")") - (out[start] == "(")
-                    if depth == 0:
-                        break
-                    start -= 1
-                if start and re.fullmatch(r"[A-Za-z_]\w*", out[start - 1]) and out[start - 1].lower() not in ("select", "where", "and", "or", "on", "by", "in", "then", "else", "when"):
-                    start -= 1
-            while start >= 2 and out[start - 1] == ".":
-                start -= 2
-            end = i + 1
-            while end + 2 < len(out) and out[end + 1] == ".":
-                end += 2
-            if out[end] == "(" or end + 1 < len(out) and out[end + 1] == "(":
-                end = _close(out, end if out[end] == "(" else end + 1)
-            out[start : end + 1] = [name, "(", *out[start:i], ",", *out[i + 1 : end + 1], ")"]
-    return out
-
-
-def _reduced(parts: list[str]) -> list[str]:
-    """list_reduce(l, f) starts from the list's first element; an empty list is refused, null stays null."""
-    out = list(parts)
-    while (at := next((i for i, p in enumerate(out[:-1]) if p.lower() == "list_reduce" and out[i + 1] == "("), None)) is not None:
-        end = _close(out, at + 1)
-        given = _split(out[at + 2 : end])
-        one = ["(", *given[0], ")"]
-        first = given[2] if len(given) > 2 else ["element_at", "(", *one, ",", "1", ")"]
-        rest = one if len(given) > 2 else ["slice", "(", *one, ",", "2", ",", "greatest", "(", "size", "(", *one, ")", ",", "1", ")", ")"]
-        out[at : end + 1] = ["aggregate", "(", *rest, ",", *first, ",", *given[1], ")"]
-    return out
-
-
-def _clause(parts: list[str], at: int, ends: set[str]) -> int:
-    """Where the clause that begins at that place ends: at a closing bracket, or at one of the words on its own level."""
-    depth = 0
-    for i in range(at, len(parts)):
-        if depth == 0 and (parts[i] in (")", "]") or parts[i].lower() in ends):
-            return i
-        depth += (parts[i] in ("(", "[")) - (parts[i] in (")", "]"))
-    return len(parts)
-
-
-def _split(parts: list[str]) -> list[list[str]]:
-    """Items between commas of the outer level."""
-    items, depth = [[]], 0
-    for p in parts:
-        depth += (p in ("(", "[", "{")) - (p in (")", "]", "}"))
-        if p == "," and depth == 0:
-            items.append([])
-        else:
-            items[-1].append(p)
-    return [i for i in items if i]
-
-
-def _select_before(parts: list[str], at: int) -> tuple[int, int]:
-    """The SELECT and the FROM of the level of that place."""
-    depth, from_ = 0, -1
-    for i in range(at - 1, -1, -1):
-        depth += (parts[i] in (")", "]")) - (parts[i] in ("(", "["))
-        if depth < 0:
-            break
-        if depth == 0 and parts[i].lower() == "from":
-            from_ = i
-        if depth == 0 and parts[i].lower() == "select":
-            return i, from_
-    raise ParseError("no SELECT for this clause")
-
-
-def _qualify(parts: list[str]) -> list[str]:
-    out = list(parts)
-    while (at := next((i for i, p in enumerate(out) if p.lower() == "qualify"), None)) is not None:
-        select, from_ = _select_before(out, at)
-        end = _clause(out, at + 1, {"order", "limit", "offset", "union", "intersect", "except"})
-        test = out[at + 1 : end]
-        out[select:end] = ["SELECT", "*", "EXCEPT", "(", "_q", ")", "FROM", "(", *out[select:from_], ",", "(", *test, ")", "AS", "_q", *out[from_:at], ")", "WHERE", "_q"]
-    return out
-
-
-def _distinct_on(parts: list[str]) -> list[str]:
-    out = list(parts)
-    while (at := next((i for i, p in enumerate(out[:-1]) if p.lower() == "distinct" and out[i + 1].lower() == "on"), None)) is not None:
-        close = _close(out, at + 2)
-        keys = out[at + 3 : close]
-        end = _clause(out, close + 1, {"limit", "offset", "union", "intersect", "except"})
-        order = next((i for i in range(close, end - 1) if out[i].lower() == "order" and out[i + 1].lower() == "by" and _clause(out, i, {"limit"}) == end), end)
-        from_ = _clause(out, close + 1, {"from"})
-        sort = out[order + 2 : end] or keys
-        ranked = ["row_number", "(", ")", "OVER", "(", "PARTITION", "BY", *keys, "ORDER", "BY", *sort, ")"]
-        hidden, again = [], []
-        for n, item in enumerate(_split(out[order + 2 : end])):
-            cut = next((i for i, p in enumerate(item) if p.lower() in ("asc", "desc", "nulls")), len(item))
-            hidden += [",", *item[:cut], "AS", f"_s{n}"]
-            again += [*([","] if n else []), f"_s{n}", *item[cut:]]
-        drop = [p for n in range(hidden.count("AS")) for p in (",", f"_s{n}")]
-        out[at - 1 : end] = ["SELECT", "*", "EXCEPT", "(", "_q", *drop, ")", "FROM", "(", "SELECT", *out[close + 1 : from_], ",", *ranked, "AS", "_q", *hidden, *out[from_:order], ")", "WHERE", "_q", "=", "1", *(["ORDER", "BY", *again] if again else [])]
-    return out
-
-
-def _nulls_last(parts: list[str]) -> list[str]:
-    """Every sort key without NULLS FIRST or LAST gets NULLS LAST, DuckDB's default in both directions."""
-    out, i = list(parts), 0
-    while i < len(out) - 1:
-        if out[i].lower() == "order" and out[i + 1].lower() == "by" and out[i + 2 : i + 3] != ["ALL"]:
-            end, item, j = _clause(out, i + 2, _ENDS), i + 2, i + 2
-            while j <= end:
-                depth_zero = j == end or out[j] == ","
-                if j < end and out[j] in ("(", "["):
-                    j = _close(out, j)
-                elif depth_zero:
-                    if "nulls" not in (p.lower() for p in out[item:j]) and out[item:j] not in (["ALL"], ["all"]):
-                        out[j:j] = ["NULLS", "LAST"]
-                        end += 2
-                        j += 2
-                    item = j + 1
-                j += 1
-        i += 1
-    return out
+from collections.abc import Callable
+
+from pyspark.sql import SparkSession
+
+from .parser import Call, Query, Series, Table, parse, walk
+from .writer import Writer
+
+
+def spark_sql(text: str, spark: SparkSession | None = None, solve: Callable | None = None, functions: set[str] | frozenset = frozenset()) -> str:
+    """The statement for Spark. With a session, in which its tables are known, types decide what they decide in DuckDB."""
+    return Writer(spark, solve, functions).query(parse(text))
+
+
+def reached(query: Query) -> tuple[set[str], set[str]]:
+    """Tables and functions that a statement names; common table expressions aren't tables where they are in scope."""
+    tables: set[str] = set()
+
+    def visit(node, scope: frozenset) -> None:
+        if isinstance(node, Query):
+            for name, _, inner in node.ctes:
+                visit(inner, scope | ({name.lower()} if node.recursive else set()))
+                scope = scope | {name.lower()}
+            for part in (node.body, node.order, node.limit, node.offset):
+                visit(part, scope)
+        elif isinstance(node, Table):
+            name = ".".join(node.parts).lower()
+            if name not in scope:
+                tables.add(name.removeprefix("main."))
+        elif isinstance(node, (list, tuple)):
+            for x in node:
+                visit(x, scope)
+        elif isinstance(node, dict):
+            visit(list(node.values()), scope)
+        elif hasattr(node, "__dataclass_fields__"):
+            for f in node.__dataclass_fields__:
+                visit(getattr(node, f), scope)
+
+    visit(query, frozenset())
+    return tables, {n.name for n in walk(query) if isinstance(n, (Call, Series))}

@@ -4,47 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .dialect import spark_sql
+from .dialect import reached
+from .parser import parse
 
 
-def _parsed(spark: SparkSession, text: str):
-    return spark._jsparkSession.sessionState().sqlParser().parsePlan(spark_sql(text))
-
-
-def _seq(items) -> list:
-    return [items.apply(i) for i in range(items.size())]
+def reach(spark: SparkSession, text: str) -> tuple[set[str], set[str]]:
+    """Tables and functions that the statement names; common table expressions aren't tables where they are in scope."""
+    return reached(parse(text))
 
 
-def _walk(node, scope: frozenset, tables: set, functions: set) -> None:
-    kind = node.getClass().getSimpleName()
-    if kind == "UnresolvedWith":
-        for pair in _seq(node.cteRelations()):
-            _walk(pair._2(), scope | ({pair._1().lower()} if node.allowRecursion() else frozenset()), tables, functions)
-            scope = scope | {pair._1().lower()}
-        _walk(node.child(), scope, tables, functions)
-        return
-    if kind == "UnresolvedRelation":
-        name = ".".join(_seq(node.multipartIdentifier())).lower()
-        if name not in scope:
-            tables.add(name)
-    if kind in ("UnresolvedTableValuedFunction", "UnresolvedFunction"):
-        name = node.name() if kind.endswith("ValuedFunction") else node.nameParts()
-        functions.add(".".join(_seq(name)).lower())
-    if kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
-        _walk(node.plan(), scope, tables, functions)
-    if hasattr(node, "expressions") and "plans.logical" in node.getClass().getName() or kind.startswith("Unresolved") and "analysis" in node.getClass().getName() and kind in ("UnresolvedHaving", "UnresolvedInlineTable", "UnresolvedSubqueryColumnAliases"):
-        for e in _seq(node.expressions()):
-            _walk(e, scope, tables, functions)
-    for child in _seq(node.children()):
-        _walk(child, scope, tables, functions)
+def refs(text: str) -> dict[str, int]:
+    """How often each table is named."""
+    from collections import Counter
 
+    from .parser import Table, walk
 
-def reach(spark: SparkSession, text: str) -> tuple[set[str], set[str]]:
-    """Tables and functions that the statement names; common table expressions aren't tables where they are in scope."""
-    tables: set[str] = set()
-    functions: set[str] = set()
-    _walk(_parsed(spark, text), frozenset(), tables, functions)
-    return tables, functions
+    known, query = reached(parse(text))[0], parse(text)
+    return dict(Counter(n for t in walk(query) if isinstance(t, Table) and (n := ".".join(t.parts).lower()) in known))
 
 
 def base_tables(spark: SparkSession, text: str) -> set[str]:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..engine import Engine
+from .inspect import reach
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,30 +20,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """Spark SQL over the tables that the text names."""
-    for name in TABLES:
-        if re.search(rf"\b{name}\b", text):
-            table(spark, sf_dir, name).createOrReplaceTempView(name)
-    return spark.sql(text)
+    """A statement of the engine over the tables that it names."""
+    engine = Engine(spark)
+    for name in reach(spark, text)[0]:
+        engine.register(name, table(spark, sf_dir, name))
+    return engine.sql(text)
 
 
 def both(name: str, text: str) -> None:
-    """A query whose text Spark and DuckDB read alike."""
-    pair(name, text, text)
-
-
-def pair(name: str, spark_text: str, duck_text: str) -> None:
-    QUERIES[name] = lambda spark, sf_dir: run_sql(spark, sf_dir, spark_text)
-    ORACLES[name] = duck_text
+    """A statement that the engine and DuckDB must answer alike."""
+    QUERIES[name] = lambda spark, sf_dir: run_sql(spark, sf_dir, text)
+    ORACLES[name] = text
 
 
-def frame(name: str, duck_text: str | None):
-    """Registers a function of (spark, sf_dir) -> DataFrame."""
+def frame(name: str, duck_text: str | None, sql: bool = False):
+    """Registers a function of (spark, sf_dir) -> DataFrame; with sql, also what the engine answers to the text, as name_sql."""
 
     def add(f):
         QUERIES[name] = f
         if duck_text is not None:
             ORACLES[name] = duck_text
+        if sql:
+            both(f"{name}_sql", duck_text)
         return f
 
     return add

@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from ..sources.facts import facts
 from ..streaming.seam import MemoryTip, seam
-from .registry import both, frame, pair, table
+from .registry import both, frame, table
 
 both("s1_parquet_scan", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01 00:00:00' AND l_quantity > 45")
 both("s7_values", "SELECT a, b FROM (VALUES (1, 'x'), (2, 'y'), (3, NULL)) AS t(a, b)")
 both("s8_empty_relation", "SELECT 1 AS one, 'a' AS letter")
-pair("s9_range", "SELECT id FROM range(5, 50, 7)", "SELECT range AS id FROM range(5, 50, 7)")
-pair("s10_generate_series", "SELECT explode(sequence(10L, -5L, -3L)) AS v", "SELECT generate_series AS v FROM generate_series(10, -5, -3)")
-pair("s11_unnest", "SELECT event_id, explode(array(user_id, event_id)) AS v FROM events", "SELECT event_id, unnest([user_id, event_id]) AS v FROM events")
+both("s9_range", "SELECT range AS id FROM range(5, 50, 7)")
+both("s10_generate_series", "SELECT generate_series AS v FROM generate_series(10, -5, -3)")
+both("s11_unnest", "SELECT event_id, unnest([user_id, event_id]) AS v FROM events")
 
 
 @frame("s4_facts_window", """

@@ -13,7 +13,7 @@ both("q3_recursive_union_all", "WITH RECURSIVE t(n, f) AS (SELECT CAST(1 AS BIGI
 
 @frame("q3_recursive_union", """
 WITH RECURSIVE reach(k) AS (SELECT CAST(1 AS BIGINT) UNION SELECT (k * 3 + i) % 97 FROM reach, (VALUES (1), (2)) AS v(i)) SELECT k FROM reach
-""")
+""", sql=True)
 def q3_recursive_union(spark, sf_dir):
     from ..operators.recursion import fixpoint
 
@@ -30,7 +30,7 @@ both("q9_subquery_in_aggregate", "SELECT n_regionkey, sum(CASE WHEN n_nationkey
 both("q10_exists_in_select", "SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000) AS rich, CASE WHEN c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) THEN 'one' ELSE 'other' END AS place FROM customer")
 
 
-@frame("q11_correlated_ordered_list", "SELECT r_name, (SELECT list(n_name ORDER BY n_name DESC) FROM nation WHERE n_regionkey = r_regionkey) AS names FROM region")
+@frame("q11_correlated_ordered_list", "SELECT r_name, (SELECT list(n_name ORDER BY n_name DESC) FROM nation WHERE n_regionkey = r_regionkey) AS names FROM region", sql=True)
 def q11_correlated_ordered_list(spark, sf_dir):
     names = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_name"), False).alias("names"))
     region = table(spark, sf_dir, "region")
