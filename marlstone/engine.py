@@ -4,29 +4,97 @@ from __future__ import annotations
 
 import json
 import threading
+import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .errors import EngineError, LimitExceeded, NoSegments, NotAllowed, PlanError, restated
+from .errors import Cancelled, EngineError, LimitExceeded, NoSegments, NotAllowed, PlanError, Timeout, restated
 from .functions.duck import install
 from .functions.text import register_text_function
 from .plans.dialect import spark_sql
 from .plans.inspect import reach
+from .plans.writer import function_names
 from .sources.facts import facts, text_rows, union_segments, widened
 from .sources.tables import HostTables
 
 
 @dataclass(frozen=True)
 class Limits:
-    """What one statement may take."""
+    """What one statement may take; None is without bound. The defaults keep an answer within the driver's memory."""
 
-    max_rows: int | None = None
+    max_rows: int | None = 1_000_000
+    max_bytes: int | None = 256 << 20
     timeout_s: float | None = None
 
+    @classmethod
+    def serving(cls) -> Limits:
+        """For statements of strangers."""
+        return cls(max_rows=50_000, max_bytes=32 << 20, timeout_s=30.0)
+
+
+@dataclass(frozen=True)
+class Budget:
+    """What a session may take, as settings for the one that builds it: memory of an executor, cores, and where tasks spill to."""
+
+    memory: str = "8g"
+    threads: int = 8
+    spill: str | None = None
+
+    def conf(self) -> dict[str, str]:
+        made = {"spark.executor.memory": self.memory, "spark.executor.cores": str(self.threads), "spark.sql.shuffle.partitions": str(4 * self.threads)}
+        return made | ({"spark.local.dir": self.spill} if self.spill else {})
+
+
+class CancelToken:
+    """Lets one thread give up the statement of another."""
+
+    def __init__(self):
+        self._event, self._stop = threading.Event(), []
+
+    def cancel(self) -> None:
+        self._event.set()
+        for stop in list(self._stop):
+            stop()
+
+    @property
+    def cancelled(self) -> bool:
+        return self._event.is_set()
+
+    @contextmanager
+    def over(self, stop: Callable[[], None]):
+        self._stop.append(stop)
+        try:
+            if self.cancelled:
+                raise Cancelled("the statement was cancelled")
+            yield
+        finally:
+            self._stop.remove(stop)
+
+
+def size_of(value) -> int:
+    """Bytes of a value, roughly."""
+    if isinstance(value, (str, bytes, bytearray)):
+        return len(value)
+    if isinstance(value, (list, tuple)):
+        return 8 + sum(map(size_of, value))
+    if isinstance(value, dict):
+        return 8 + sum(size_of(k) + size_of(v) for k, v in value.items())
+    return 8
+
+
+@dataclass(frozen=True)
+class Metrics:
+    """What an engine's answers came to; plan_metrics has what a plan took."""
+
+    statements: int = 0
+    rows: int = 0
+    bytes: int = 0
+
 
 class Gate:
     """At most so many statements at a time, first come first served."""
@@ -57,7 +125,7 @@ class Engine:
         self._tables: dict[str, DataFrame] = {}
         self._views: dict[str, DataFrame] = {}
         self._text_functions: set[str] = set()
-        self._solved = 0
+        self._solved, self.metrics = 0, Metrics()
         install(spark)
 
     # Tables
@@ -84,13 +152,21 @@ class Engine:
             raise NoSegments(f"no segments in {folder}")
         for name, found in files.items():
             kinds = declared.get(name, {})
-            df = union_segments([self.spark.read.parquet(f) for f in sorted(found)]) if len(found) <= 64 else self.spark.read.option("mergeSchema", True).parquet(*sorted(found))
-            self.register(name, widened(df, [c for c, k in kinds.items() if k in ("word16", "word32")]))
+            self.register(name, widened(union_segments(self._segments(sorted(found))), [c for c, k in kinds.items() if k in ("word16", "word32")]))
         for name, kinds in declared.items():
             if name not in files:
                 self.register(name, widened(self.spark.createDataFrame([], ", ".join(f"`{c}` {'string' if k.startswith('word') else k}" for c, k in kinds.items())), [c for c, k in kinds.items() if k in ("word16", "word32")]))
         return sorted(self._tables)
 
+    def _segments(self, files: list[str]) -> list[DataFrame]:
+        """One frame for all files of a schema: schemas come from the footers, whatever their number, and a plan has as many scans as there are schemas."""
+        with ThreadPoolExecutor(16) as pool:
+            schemas = list(pool.map(lambda f: self.spark.read.parquet(f).schema, files))
+        alike: dict[str, tuple] = {}
+        for f, schema in zip(files, schemas, strict=True):
+            alike.setdefault(schema.json(), (schema, []))[1].append(f)
+        return [self.spark.read.schema(schema).parquet(*own) for schema, own in alike.values()]
+
     def register_facts(self, name: str, cold: DataFrame | None, hot: DataFrame | None, declared: dict[str, str], block: str, after: int | None = None, through: int | None = None) -> None:
         self.register(name, facts(cold, hot, declared, block, after, through))
 
@@ -101,6 +177,21 @@ class Engine:
         register_text_function(self.spark, name, arity, f)
         self._text_functions.add(name.lower())
 
+    def register_scalar_function(self, name: str, f: Callable, result: str) -> None:
+        """Makes f callable from SQL by that name, over values of any type; result: its type in Spark's words. Values cross in Arrow batches."""
+        from pyspark.sql.functions import udf
+
+        self.spark.udf.register(name, udf(f, result, useArrow=True))
+        self._text_functions.add(name.lower())
+
+    def function_names(self) -> list[str]:
+        """All functions that a statement may call."""
+        return sorted(set(function_names()) | self._text_functions)
+
+    def visible_tables(self) -> list[str]:
+        """All relations that a statement may name."""
+        return sorted([*self.tables(), "information_schema.columns", "information_schema.tables"])
+
     def view(self, name: str, text: str) -> None:
         """A view over earlier tables and views; it may replace a view, never a table."""
         if name.lower() in self._tables:
@@ -162,23 +253,39 @@ class Engine:
         self.spark.catalog.dropTempView(name)
         return made
 
-    def answer(self, text: str, limits: Limits = Limits()) -> list:
-        """Rows, within the limits. Statements wait for their turn at the gate."""
+    def answer(self, text: str, limits: Limits = Limits(), token: CancelToken | None = None) -> list:
+        """Rows, within the limits. Statements wait for their turn at the gate, and a token gives them up."""
+        token = token or CancelToken()
         with self.gate.admitted():
-            df, group = self.sql(text), f"marlstone-{threading.get_ident()}-{id(text)}"
-            timer, sc = None, self.spark.sparkContext
-            late = threading.Event()
-            if limits.timeout_s is not None:
+            group, sc = f"marlstone-{uuid.uuid4().hex}", self.spark.sparkContext
+            late, timer = threading.Event(), None
+            stop = lambda: sc._jsc.sc().cancelJobGroupAndFutureJobs(group)
+            with token.over(stop):
+                df = self.sql(text)
                 sc.setJobGroup(group, "statement", interruptOnCancel=True)
-                timer = threading.Timer(limits.timeout_s, lambda: (late.set(), sc.cancelJobGroup(group)))
-                timer.start()
-            try:
-                rows = (df if limits.max_rows is None else df.limit(limits.max_rows + 1)).collect()
-            except Exception as e:
-                raise LimitExceeded("timeout") if late.is_set() else restated(e) from e
-            finally:
-                if timer:
-                    timer.cancel()
-            if limits.max_rows is not None and len(rows) > limits.max_rows:
-                raise LimitExceeded(f"more than {limits.max_rows} rows")
-            return rows
+                if limits.timeout_s is not None:
+                    timer = threading.Timer(limits.timeout_s, lambda: (late.set(), stop()))
+                    timer.start()
+                try:
+                    rows, held = [], 0
+                    df = df if limits.max_rows is None else df.limit(limits.max_rows + 1)
+                    # Until here the cluster's spark.driver.maxResultSize bounds the bytes; a larger result aborts the job.
+                    for row in df.collect():
+                        rows.append(row)
+                        held += size_of(tuple(row))
+                        if limits.max_rows is not None and len(rows) > limits.max_rows:
+                            raise LimitExceeded(f"more than {limits.max_rows} rows")
+                        if limits.max_bytes is not None and held > limits.max_bytes:
+                            raise LimitExceeded(f"more than {limits.max_bytes} bytes")
+                except EngineError:
+                    raise
+                except Exception as e:
+                    if late.is_set():
+                        raise Timeout("timeout") from e
+                    raise Cancelled("the statement was cancelled") if token.cancelled else restated(e) from e
+                finally:
+                    if timer:
+                        timer.cancel()
+                    sc.setLocalProperty("spark.jobGroup.id", None)
+                self.metrics = Metrics(self.metrics.statements + 1, self.metrics.rows + len(rows), self.metrics.bytes + held)
+                return rows

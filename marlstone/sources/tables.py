@@ -12,7 +12,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ..errors import NotAllowed, PlanError
+from ..errors import LimitExceeded, NotAllowed, PlanError
 from ..runtime import shared_dir
 
 #: Spark's types as DuckDB names them.
@@ -38,8 +38,11 @@ class HostTables:
     def create_table_as(self, name: str, df: DataFrame) -> DataFrame:
         if name.lower() in self.tables:
             raise PlanError(f"table {name} exists")
-        self.tables[name.lower()] = df.persist()
-        return df
+        # Written, so a lost executor loses nothing; a column of nulls alone has no type to write and becomes text.
+        plain = df.select(*[df[f"`{f.name}`"].cast("string").alias(f.name) if isinstance(f.dataType, T.NullType) else df[f"`{f.name}`"] for f in df.schema])
+        path = self.write_parquet(plain)
+        self.tables[name.lower()] = made = self.spark.read.schema(plain.schema).parquet(path)
+        return made
 
     def drop_relation(self, name: str) -> None:
         if name.lower() not in self.tables:
@@ -78,13 +81,36 @@ def describe(df: DataFrame) -> list[tuple[str, str]]:
     return [(f.name, duck_name(f.dataType)) for f in df.schema]
 
 
-def arrow_ipc(df: DataFrame) -> bytes:
-    """The result as an Arrow stream."""
+def arrow_batches(df: DataFrame) -> Iterator:
+    """The result as Arrow batches, partition by partition: no more than a partition is held."""
     import pyarrow as pa
 
-    made, sink = df.toArrow(), pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, made.schema) as out:
-        out.write_table(made)
+    def sealed(batches):
+        for b in batches:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, b.schema) as out:
+                out.write_batch(b)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["stream"])
+
+    for row in df.mapInArrow(sealed, "stream binary").toLocalIterator(prefetchPartitions=True):
+        yield from pa.ipc.open_stream(row.stream)
+
+
+def arrow_ipc(df: DataFrame, max_bytes: int = 256 << 20) -> bytes:
+    """The result as an Arrow stream of so many bytes at most."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    sink, out = pa.BufferOutputStream(), None
+    for batch in arrow_batches(df):
+        if out is None:
+            out = pa.ipc.new_stream(sink, batch.schema)
+        out.write_batch(batch)
+        if sink.tell() > max_bytes:
+            raise LimitExceeded(f"more than {max_bytes} bytes")
+    if out is None:
+        out = pa.ipc.new_stream(sink, to_arrow_schema(df.schema))
+    out.close()
     return sink.getvalue().to_pybytes()
 
 

@@ -7,14 +7,14 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.engine import Engine, Gate, Limits
-from marlstone.errors import LimitExceeded, NoSegments, NotAllowed, Overflow, ParseError, PlanError, SeamError
+from marlstone.engine import Budget, CancelToken, Engine, Gate, Limits
+from marlstone.errors import Cancelled, LimitExceeded, NoSegments, NotAllowed, Overflow, ParseError, PlanError, SeamError, Timeout
 from marlstone.functions.duck import strftime
 from marlstone.operators.aggregates import exact_double_sum, guarded, signed_fold, sum_of_text
 from marlstone.operators.joins import latest_row, not_in, range_join
 from marlstone.operators.recursion import fixpoint
 from marlstone.plans.dialect import spark_sql
-from marlstone.plans.inspect import base_tables, canonical, parquet_scans, reach
+from marlstone.plans.inspect import base_tables, canonical, parquet_scans, plan_metrics, reach, refs
 from marlstone.sources.facts import facts, text_rows, union_segments, widened
 from marlstone.sources.tables import HostTables, arrow_ipc, describe, for_each_batch, json_rows
 from marlstone.streaming.seam import MemoryTip, seam
@@ -70,6 +70,7 @@ def test_refusals(engine, text, kind):
 def test_inspection(spark, engine):
     tables, functions = reach(spark, "WITH t AS (SELECT * FROM ev) SELECT lower(who) FROM t JOIN other o ON EXISTS (SELECT 1 FROM deep d WHERE d.x = o.x)")
     assert tables == {"ev", "other", "deep"} and "lower" in functions
+    assert refs("SELECT * FROM ev a JOIN ev b USING (id) JOIN (WITH t AS (SELECT 1 AS id) SELECT * FROM t) USING (id)") == {"ev": 2}
     assert base_tables(spark, "WITH ev AS (SELECT * FROM ev) SELECT * FROM ev") == {"ev"}
     one, two = engine.sql("SELECT a.id FROM ev a WHERE a.n > 1"), engine.sql("select zz.id from ev as zz where zz.n > 1")
     assert canonical(one) == canonical(two) != canonical(engine.sql("SELECT id FROM ev WHERE n > 2"))
@@ -118,6 +119,47 @@ def test_limits_gate_and_overflow(engine):
     assert order == sorted(order)
 
 
+def test_bytes_cancel_and_metrics(engine, spark):
+    engine.register("big", spark.range(200_000).selectExpr("id", "repeat('x', 100) AS t"))
+    with pytest.raises(LimitExceeded, match="bytes"):
+        engine.answer("SELECT id, t FROM big", Limits(max_rows=None, max_bytes=10_000))
+    engine.register_scalar_function("slowly", lambda i: time.sleep(0.01) or i, "bigint")
+    slow = "SELECT max(slowly(id)) AS n FROM big"
+    with pytest.raises(Timeout):
+        engine.answer(slow, Limits(timeout_s=1.0))
+    token = CancelToken()
+    threading.Timer(1.0, token.cancel).start()
+    with pytest.raises(Cancelled):
+        engine.answer(slow, token=token)
+    with pytest.raises(Cancelled):
+        engine.answer("SELECT 1 AS x", token=token)
+    before = engine.metrics.rows
+    assert len(engine.answer("SELECT id FROM ev")) == 4 and engine.metrics.rows == before + 4
+    df = engine.sql("SELECT n, count(*) AS c FROM ev GROUP BY n")
+    df.collect()
+    assert plan_metrics(df)["peak_memory"] >= 0
+    assert Limits.serving().timeout_s and Budget("1g", 2, "/tmp/x").conf()["spark.local.dir"] == "/tmp/x"
+    names = engine.function_names()
+    assert {"strftime", "list_reduce", "sum", "json_extract"} <= set(names) and not {"read_csv", "reflect"} & set(names)
+    assert "information_schema.tables" in engine.visible_tables()
+
+
+def test_scalar_functions(engine):
+    engine.register_scalar_function("plus_len", lambda n, s: None if n is None or s is None else n + len(s), "bigint")
+    assert rows(engine.sql("SELECT plus_len(n, who) AS x FROM ev")) == sorted([(11,), (None,), (8,), (None,)], key=str)
+    with pytest.raises(NotAllowed):
+        engine.sql("SELECT some_other(n) AS x FROM ev")
+
+
+@pytest.mark.parametrize(("text", "kind", "said"), [
+    ("SELECT nope FROM ev", PlanError, "Binder Error: Referenced column"), ("SELECT who, count(*) AS c FROM ev", PlanError, "must appear in the GROUP BY clause"), ("SELECT (SELECT id FROM ev) AS x", PlanError, "More than one row returned"),
+    ("SELECT id * 9223372036854775807 AS x FROM ev", Overflow, "Out of Range Error"), ("SELECT CAST(who AS DATE) AS d FROM ev", PlanError, "Conversion Error: Could not convert string"),
+])
+def test_errors_in_duckdbs_words(engine, text, kind, said):
+    with pytest.raises(kind, match=said):
+        engine.answer(text)
+
+
 def test_text_functions(engine):
     engine.register_text_function("glue", 2, lambda a, b: f"{a}+{b}")
     assert rows(engine.sql("SELECT glue(who, 'z') AS g FROM ev")) == [("A+z",), ("a+z",), ("b+z",), (None,)]
