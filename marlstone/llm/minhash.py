@@ -14,13 +14,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SMALL_ROWS, Stash, components, read, ship, text_parts, tidied
+from .shared import SMALL_ROWS, Stash, by_rows, components, read, ship, text_parts, tidied
 from .wordhash import mixed, word_hashes
 
 COORDINATES = 64
@@ -145,15 +144,16 @@ def _blocks(least: int, num: int, den: int):
     enough coordinates are confirmed on their sets. A pair belongs to the first posting that both have, so no other task tries it,
     and pairs that links found here already connect are passed over; links are fewer than documents."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        side = pdf["side"].to_numpy()
+    def run(table: pa.Table) -> pa.Table:
+        side, rep, n, at = (table.column(c).to_numpy() for c in ("side", "rep", "n", "component"))
         one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         two = two if len(two) else one
-        rep, n, at, post = pdf["rep"].to_numpy(), pdf["n"].to_numpy(), pdf["component"].to_numpy(), int(pdf["post"].iloc[0])
-        sig = np.frombuffer(b"".join(pdf["sig"]), "<u4").reshape(-1, COORDINATES)
-        sets = [np.frombuffer(x, "<u8") for x in pdf["shingles"]]
-        width = max(map(len, pdf["posts"]))
-        posts = np.stack([np.pad(np.asarray(x, np.int64), (0, width - len(x)), constant_values=-1 - i) for i, x in enumerate(pdf["posts"])])
+        post = table.column("post")[0].as_py()
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u4").reshape(-1, COORDINATES)
+        sets = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("shingles")]
+        lists = table.column("posts").to_pylist()
+        width = max(map(len, lists))
+        posts = np.stack([np.pad(np.asarray(x, np.int64), (0, width - len(x)), constant_values=-1 - i) for i, x in enumerate(lists)])
         right, parent, found = np.ascontiguousarray(sig[two].T), {}, []
 
         def root(c: int) -> int:
@@ -184,7 +184,7 @@ def _blocks(least: int, num: int, den: int):
                     if den * common >= num * (len(sets[u]) + len(sets[v]) - common):
                         parent[cu] = cv
                         found.append((rep[u], rep[v]))
-        return pd.DataFrame(found, columns=["a", "b"]).astype(np.int64)
+        return pa.table({c: pa.array([pair[k] for pair in found], pa.int64()) for k, c in enumerate("ab")})
 
     return run
 
@@ -194,14 +194,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
 
     Documents are linked if the Jaccard similarity of their sets of distinct word shingles reaches the fraction similarity.
     Fewer words than width are one shingle; null texts and texts without words have none and are linked with nothing. component_id
-    is the smallest doc_id reachable; kept says that it is the row's own. Rows that repeat a doc_id and a text are alike; a null
-    doc_id is linked with nothing, has a null component_id and is kept. Empty tables give empty results; other columns are ignored."""
+    is the smallest doc_id reachable; kept says that it is the row's own. Rows that repeat a doc_id are linked each by its own text; a null
+    doc_id is linked with nothing, has a null component_id and is kept. Texts count whole, however long. Empty tables give empty
+    results; other columns are ignored."""
+    ship(docs.sparkSession)
+    stash = stash or Stash(docs.sparkSession)
+    return by_rows(stash, docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", lambda rows: _near_duplicates(rows, width, similarity, Stash(docs.sparkSession)))
+
+
+def _near_duplicates(docs: DataFrame, width: int, similarity: tuple[int, int], stash: Stash) -> DataFrame:
+    """The same for doc_ids that don't repeat."""
     spark = docs.sparkSession
-    ship(spark)
-    stash = stash or Stash(spark)
     num, den = similarity
     least = matches_for(num / den)
-    signed = stash.keep(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidied(_signer(width)), "doc_id long, n long, h1 long, h2 long, sig binary"), "signed")
+    signed = stash.keep(docs.select("doc_id", "text").mapInArrow(tidied(_signer(width)), "doc_id long, n long, h1 long, h2 long, sig binary"), "signed")
     some = signed.where("n > 0 and doc_id is not null")
     classes = stash.keep(some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")).where("rows > 1").drop("rows"), "classes")
     members = stash.keep(signed.join(classes, ["h1", "h2"], "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"), "sig"), "members")
@@ -223,7 +229,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
 
     wanted = stash.keep(buckets.select("rep").distinct(), "wanted")
     few = F.broadcast(wanted) if wanted.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else wanted
-    sets = stash.keep(docs.select("doc_id", "text").join(few, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").cast("long"), "text").mapInArrow(tidied(_setter(width)), "rep long, shingles binary"), "sets")
+    sets = stash.keep(docs.select("doc_id", "text").join(few, F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", "text").mapInArrow(tidied(_setter(width)), "rep long, shingles binary"), "sets")
     sigs = stash.keep(reps.join(few, "rep", "left_semi").select("rep", "sig").distinct(), "sigs")
 
     def side(table: DataFrame, value: str, c: str) -> DataFrame:
@@ -261,7 +267,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
             own = F.pmod(F.xxhash64("rep"), F.col("parts").cast("long")).cast("int")
             other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
             dealt = open_.select("*", own.alias("own")).select("*", other.alias("other")).select("post", "rep", "n", "component", "sig", "shingles", "posts", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-            found_here = dealt.groupBy("post", "i", "j").applyInPandas(_blocks(least, num, den), "a long, b long")
+            found_here = dealt.groupBy("post", "i", "j").applyInArrow(_blocks(least, num, den), "a long, b long")
         new = confirm(pairs, f"round{r}") if r < ROUNDS else stash.keep(found_here.distinct(), f"links-round{r}")
         if not new.isEmpty():
             # What is known stands as one edge from each node to its component.
@@ -271,5 +277,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     return done.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+#: The same in DuckDB: sets of shingles, pairs that share one, and what links reach.
+OP7_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, s.b FROM reach r JOIN sides s ON r.b = s.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN least ON least.a = d.doc_id LEFT JOIN sizes ON sizes.doc_id = d.doc_id
+"""
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), 3, (85, 100))

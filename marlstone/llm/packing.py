@@ -12,7 +12,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,10 +94,11 @@ PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, seque
 
 
 def packer(cap: int, round_: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        part = int(pdf["part"].iloc[0])
-        pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
-        sizes = pdf["length"].to_numpy()
+    def run(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        order = [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")]
+        table = table.drop_columns(["part"]).sort_by(order)
+        sizes = table.column("length").to_numpy()
         bins, fill = best_fit(sizes, cap)
         gap = len(fill) - lower_bound(np.bincount(sizes, minlength=cap + 1))
         # The emptiest sequences go to the exchange, until their room makes up for ROOM sequences and as many for each of the gap.
@@ -111,7 +111,9 @@ def packer(cap: int, round_: int):
         run_, first = np.cumsum(sizes[order]) - sizes[order], np.searchsorted(bins[order], np.arange(len(fill)))
         offset = np.empty(len(sizes), np.int64)
         offset[order] = run_ - run_[first][bins[order]]
-        return pdf.drop(columns="part").assign(sequence_id=((round_ << 31 | part) << 28) + bins, offset=offset, again=goes[bins])
+        for name, column in (("sequence_id", ((round_ << 31 | part) << 28) + bins), ("offset", offset), ("again", goes[bins])):
+            table = table.append_column(name, pa.array(column))
+        return table
 
     return run
 
@@ -129,7 +131,7 @@ def pack(pieces: DataFrame, cap: int = LENGTH, stash: Stash | None = None, per_p
     for r in range(ROUNDS):
         parts = max(LEAST_PARTS if r == 0 else 1, -(-n // per_part)) if r == 0 else max(1, min(-(-n // per_part), before - 1))
         dealt = left.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(r)), F.lit(parts)))
-        packed = stash.keep(dealt.groupBy("part").applyInPandas(packer(cap, r), PACKED), f"packed{r}")
+        packed = stash.keep(dealt.groupBy("part").applyInArrow(packer(cap, r), PACKED), f"packed{r}")
         tally = packed.groupBy("again").agg(F.countDistinct("sequence_id").alias("bins"), F.count("*").alias("n")).collect()
         open_ = next((t for t in tally if t.again), None)
         bins = sum(t.bins for t in tally)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import Stash, components, join_small, read, ship
+from .shared import Stash, by_rows, components, join_small, read, ship
 
 #: The sample that quantisers are fitted on; vectors a list is meant to hold, and at most so many lists.
 SAMPLE, PER_LIST, MOST_LISTS = 20_000, 200, 4096
@@ -175,11 +175,16 @@ def vector_links(vectors: DataFrame, least: float = 0.93, stash: Stash | None =
 
     Vectors with the same label and dimension are linked if their cosine, in double precision, reaches least. Vectors, or labels,
     that are null, zero vectors and vectors with components null or not finite are linked with nothing. Rows that repeat a vec_id
-    count as vectors of their own in n_links; a null vec_id has a null component_id. Empty tables give empty results; other
-    columns are ignored."""
+    are vectors of their own, linked each by its own components; a null vec_id is linked with nothing and has a null component_id. Empty tables give empty
+    results; other columns are ignored."""
+    ship(vectors.sparkSession)
+    stash = stash or Stash(vectors.sparkSession)
+    return by_rows(stash, vectors.select("vec_id", "label", "embedding"), "vec_id", lambda rows: _vector_links(rows, least, Stash(vectors.sparkSession)))
+
+
+def _vector_links(vectors: DataFrame, least: float, stash: Stash) -> DataFrame:
+    """The same for vec_ids that don't repeat."""
     spark = vectors.sparkSession
-    ship(spark)
-    stash = stash or Stash(spark)
     label_type = dict(vectors.dtypes)["label"]
     whole = stash.keep(vectors.select("vec_id", "label", "embedding").mapInArrow(_unit, f"vec_id long, label {label_type}, dim int, h1 long, h2 long, unit binary"), "units")
     able = whole.where("dim is not null and vec_id is not null")
@@ -263,5 +268,17 @@ def vector_links(vectors: DataFrame, least: float = 0.93, stash: Stash | None =
     return done.select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
+#: The same in DuckDB: all pairs of a label.
+OP10_SQL = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY 1), degree AS (SELECT a, count(*) AS n FROM links GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN least ON least.a = vec_id LEFT JOIN degree ON degree.a = vec_id
+"""
+
+
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_links(read(spark, sf_dir, "embeddings"), 0.93)

@@ -20,4 +20,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_embedding_near_dedup": pq.op10_embedding_near_dedup,
 }
-ORACLES: dict[str, str] = {"op3_exact_dedup": recipes.OP3_SQL}
+ORACLES: dict[str, str] = {"op3_exact_dedup": recipes.OP3_SQL, "op7_minhash_near_dedup": minhash.OP7_SQL, "op10_embedding_near_dedup": pq.OP10_SQL}

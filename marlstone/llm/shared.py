@@ -24,6 +24,7 @@ WORD = rf"[^{SPACE}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Tables of at most this many rows may be broadcast; the count is taken before, and a salted join serves beyond it.
 SMALL_ROWS = 100_000
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _stashes: list[Stash] = []
 _shipped: set[str] = set()
@@ -31,7 +32,10 @@ _lock = threading.Lock()
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package wherever they run."""
+    """Lets Python workers import this package wherever they run, and bounds what crosses to them at a time by bytes, unless the session
+    has a bound of its own."""
+    if spark.conf.get(BATCH_BYTES) == "67108864b":
+        spark.conf.set(BATCH_BYTES, "4m")
     key = spark.sparkContext.applicationId
     with _lock:
         if key in _shipped:
@@ -140,6 +144,20 @@ def components(stash: Stash, edges: DataFrame, name: str) -> DataFrame:
     return stash.keep(chain.join(least, "to").select("node", "component"), f"{name}-components")
 
 
+def by_rows(stash: Stash, df: DataFrame, key: str, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """run over df, for a run that takes the key for a name of one row and returns it with component_id and kept. Where keys repeat, rows
+    are numbered, run links the numbers, and a component is called by its least key; each row is judged by its own content."""
+    named = df.where(F.col(key).isNotNull())
+    if named.groupBy(key).count().where("count > 1").isEmpty():
+        return run(df)
+    rows = stash.keep(named.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = stash.keep(run(rows.drop(key).withColumnRenamed("_row", key)).drop("kept").withColumnRenamed(key, "_row").join(rows.select(key, "_row"), "_row").drop("_row"), "by-rows")
+    least = found.groupBy("component_id").agg(F.min(key).alias("_least"))
+    done = join_small(found, stash.keep(least, "least-keys"), ["component_id"], "inner").drop("component_id").withColumnRenamed("_least", "component_id")
+    nameless = run(df.where(F.col(key).isNull()))
+    return nameless.drop("kept").unionByName(done).select(*nameless.drop("kept").columns, F.col(key).eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def text_parts(batch: pa.RecordBatch, column: int, most: int) -> Iterator[tuple[int, list[str | None]]]:
     """The texts of a batch in parts of at most so many bytes, one text at least: the place of the first, and the texts. Only one part
     is held as Python strings at a time."""

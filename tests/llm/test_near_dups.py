@@ -76,6 +76,18 @@ def test_minhash_edge_cases(spark):
     assert found == sorted([(None, 4, None, True), (1, 4, 1, True), (1, 4, 1, True), (2, 4, 1, False), (3, 0, 3, True), (4, 0, 4, True)], key=str)
 
 
+def test_rows_that_repeat_a_doc_id_are_linked_by_their_own_texts(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, base), (7, base + " more"), (7, "quite another text of eight words in all"), (9, "Quite another text of eight words in all"), (None, base)]
+    found = sorted(map(tuple, minhash.near_duplicates(table(spark, rows), 3, (85, 100)).select("doc_id", "component_id", "kept").collect()), key=str)
+    assert found == sorted([(3, 3, True), (7, 3, False), (7, 7, True), (9, 7, False), (None, None, True)], key=str)
+
+
+def test_vectors_that_repeat_an_id(spark):
+    found = pq.vector_links(vectors(spark, [(1, [1.0, 0.0], 0), (5, [1.0, 0.01], 0), (5, [0.0, 1.0], 0), (8, [0.0, 1.0], 0), (None, [1.0, 0.0], 0)])).collect()
+    assert sorted(map(tuple, found), key=str) == sorted([(1, 1, 1, True), (5, 1, 1, False), (5, 1, 5, True), (8, 1, 5, False), (None, 0, None, True)], key=str)
+
+
 def test_matches_miss_little():
     from math import comb
 
@@ -162,7 +174,21 @@ def test_no_list_in_reach_is_left_out(spark, monkeypatch):
 def test_vectors_edge_cases(spark):
     assert pq.vector_links(vectors(spark, [])).count() == 0
     found = pq.vector_links(vectors(spark, [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (None, [1.0, 0.0], 0), (2, [0.0, 1.0], 0)])).collect()
-    assert sorted(((r.vec_id, r.component_id, r.kept) for r in found), key=str) == [(1, 1, True), (1, 1, True), (2, 2, True), (None, None, True)]
+    assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in found), key=str) == [(1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True), (None, 0, None, True)]
+
+
+def test_oracles(spark, tmp_path):
+    """The SQL of both queries against the queries, over rows with links, copies, nulls and odd vectors."""
+    import duckdb
+
+    spark.createDataFrame([(d, t) for d, t in corpus(seed=8) if d != 307], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    vectors(spark, [r for r in vector_rows() if r[0] < 900 or r[0] in (900, 901, 904, 906)]).select("vec_id", "embedding", "label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    for query, text in ((minhash.op7_minhash_near_dedup, minhash.OP7_SQL), (pq.op10_embedding_near_dedup, pq.OP10_SQL)):
+        con = duckdb.connect()
+        for t in ("documents", "embeddings"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+        got = sorted(map(tuple, query(spark, str(tmp_path)).collect()))
+        assert got == sorted(con.execute(text).fetchall()) and len({r[2] for r in got}) < len(got)
 
 
 def test_recall_on_the_table(spark, sf_dir):
