@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import fold_of, give_back, read, ship, text_parts
+from .shared import Stash, fold_of, give_back, read, ship, text_parts
 
 #: The training sample: at most so many labelled texts of either label, all of them whole, with so many characters together (one text at least).
 SAMPLE_EACH, SAMPLE_CHARS = 2_000, 8_000_000
@@ -295,9 +295,11 @@ def fit_lexicon(texts: DataFrame, labels: DataFrame) -> Lexicon:
     these ids repeat, the same bounds hold for their texts."""
     spark, kind = texts.sparkSession, texts.schema["doc_id"].dataType.simpleString()
     known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast(kind), (F.col("toxic") > 0).cast("int").alias("y")).distinct().join(texts.select("doc_id"), "doc_id", "left_semi")
-    rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    drawn = known.select("doc_id", "y", rank.alias("rank"), F.count("*").over(Window.partitionBy("y")).alias("n")).where(F.col("rank") <= SAMPLE_EACH).collect()
-    n = {r.y: r.n for r in drawn}
+    stash = Stash(spark)
+    known = stash.keep(known, "known")
+    n = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
+    drawn = [r for y in n for r in known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_EACH).collect()]
+    stash.drop()
     ids = spark.createDataFrame([(r.doc_id, r.y) for r in drawn], f"doc_id {kind}, y int")
     found = texts.join(F.broadcast(ids), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "y").withColumn("_h", F.xxhash64("text"))
     place = F.row_number().over(Window.partitionBy("y").orderBy("_h"))
