@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from .shared import SMALL_ROWS, WORD, Stash, join_small, read
 
 WEIGHTS, SHARE, MOST_COPIES = (5.0, 2.0, 1.0), 1.5, 2
-NEWTON_STEPS, TOLERANCE = 30, 1e-5
+#: More steps than bisection needs from any start; sources that are still open then are an error.
+NEWTON_STEPS, TOLERANCE = 100, 1e-5
 #: Rounding decides cells of a source, a size class and a bin of priority together.
 BINS = 256
 
@@ -73,6 +74,8 @@ def solve_rates(stash: Stash, sized: DataFrame, targets: DataFrame) -> DataFrame
         moved = state.join(F.broadcast(sums) if few else sums, "key", "left")
         state = stash.keep(moved.select("key", "target", "mean", F.when(held, F.col("lam")).when(inside, newton).otherwise(halved).alias("lam"), lo.alias("lo"), hi.alias("hi"), held.alias("done")), f"state{step + 1}")
         left = state.where("not done").count()
+    if left:
+        raise ArithmeticError(f"{left} sources' rates didn't reach their targets in {NEWTON_STEPS} steps")
     return state.join(targets.select("key", "source_size"), "key").select("key", "mean", F.when(F.col("target") >= 2.0 * F.col("source_size") * (1 - 1e-12), None).otherwise(F.col("lam")).alias("lam"))
 
 

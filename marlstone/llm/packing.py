@@ -8,6 +8,7 @@ one partition is left.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ from .tokens import encoded
 
 LENGTH = 2048
 #: Pieces a partition is dealt; its task holds about 40 bytes for each.
-PIECES, LEAST_PARTS, ROUNDS = 50_000, 8, 8
+PIECES, LEAST_PARTS = 50_000, 8
 #: Room, in sequences, that a partition gives to the exchange, and again for each sequence of its gap.
 ROOM = 4
 
@@ -119,7 +120,8 @@ def packer(cap: int, round_: int):
 
 
 def pack(pieces: DataFrame, cap: int = LENGTH, stash: Stash | None = None, per_part: int = PIECES) -> DataFrame:
-    """The pieces with sequence_id and offset. Every piece is in one sequence, no sequence is longer than cap, none has gaps."""
+    """The pieces with sequence_id, offset and bound, the number of sequences that no packing of them can go below. Every piece is in one sequence,
+    no sequence is longer than cap, none has gaps."""
     stash = stash or Stash(pieces.sparkSession)
     ship(pieces.sparkSession)
     pieces = stash.keep(pieces, "pieces")
@@ -127,31 +129,32 @@ def pack(pieces: DataFrame, cap: int = LENGTH, stash: Stash | None = None, per_p
     for r in pieces.groupBy("length").count().collect():  # cap rows at most
         counts[r["length"]] = r["count"]
     bound, n = lower_bound(counts), int(counts.sum())
-    done, left, settled, before = [], pieces, 0, None
-    for r in range(ROUNDS):
-        parts = max(LEAST_PARTS if r == 0 else 1, -(-n // per_part)) if r == 0 else max(1, min(-(-n // per_part), before - 1))
-        dealt = left.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(r)), F.lit(parts)))
+    done, left, settled, before, best = [], pieces, 0, None, None
+    for r in itertools.count():
+        parts = max(LEAST_PARTS, -(-n // per_part)) if r == 0 else max(1, min(-(-n // per_part), before - 1))
+        dealt = left.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "start", F.monotonically_increasing_id(), F.lit(r)), F.lit(parts)))
         packed = stash.keep(dealt.groupBy("part").applyInArrow(packer(cap, r), PACKED), f"packed{r}")
         tally = packed.groupBy("again").agg(F.countDistinct("sequence_id").alias("bins"), F.count("*").alias("n")).collect()
         open_ = next((t for t in tally if t.again), None)
-        bins = sum(t.bins for t in tally)
-        if open_ is None or settled + bins <= bound or parts == 1 or r == ROUNDS - 1:
+        total = settled + sum(t.bins for t in tally)
+        if open_ is None or total <= bound or parts == 1 or best is not None and total >= best:
             done.append(packed)
             break
         done.append(packed.where("not again"))
-        settled += bins - open_.bins
-        left, n, before = packed.where("again").select("doc_id", "piece", "start", "length", "ids_crc32"), open_.n, parts
+        settled += sum(t.bins for t in tally) - open_.bins
+        left, n, before, best = packed.where("again").select("doc_id", "piece", "start", "length", "ids_crc32"), open_.n, parts, total
     whole = done[0]
     for d in done[1:]:
         whole = whole.unionAll(d)
-    return whole.drop("again")
+    return whole.drop("again").withColumn("bound", F.lit(bound).cast("long"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end: int, cap: int = LENGTH, stash: Stash | None = None, per_part: int = PIECES) -> DataFrame:
-    """One row per piece of every row of docs: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    """One row per piece of every row of docs: doc_id, piece, start, length, ids_crc32, sequence_id, offset, bound.
 
     A document is its ids and the end id; null and empty texts have the end id alone. Only documents longer than cap are cut.
-    Rows that repeat a doc_id are packed each on its own; an empty table gives an empty result; other columns are ignored."""
+    Pieces of one length go by doc_id (nulls last) and piece, so reruns agree on which sequences are full; rows that repeat a doc_id are packed each on
+    its own; an empty table gives an empty result; other columns are ignored."""
     return pack(pieces_of(docs, tokenizer, end, cap), cap, stash, per_part)
 
 

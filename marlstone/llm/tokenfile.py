@@ -15,14 +15,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import Stash, read, ship, tidied
 from .tokens import encoded
 
 BLOCK, MAGIC, TAIL = 4096, b"MTOK1\0\0\0", struct.Struct("<8sqqqqq")
-DOCS_PER_FILE = 5_000
+#: Documents of a file; more where there would be over MOST_FILES files, whose borders a task needs.
+DOCS_PER_FILE, MOST_FILES = 5_000, 100_000
 NULL_DOC = -(1 << 63)
 
 
@@ -102,8 +103,8 @@ class Reader:
         return np.concatenate(parts)[start - first * self.block :][:n]
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end: int, stash: Stash, docs_per_file: int = DOCS_PER_FILE) -> tuple[str, list[tuple[int, int]]]:
-    """Writes all documents in ascending doc_id order; the folder, and (file number, ids in it) in order. Null texts have the end id alone.
+def write_tokens(docs: DataFrame, tokenizer: str, end: int, stash: Stash, docs_per_file: int = DOCS_PER_FILE) -> tuple[str, DataFrame]:
+    """Writes all documents in ascending doc_id order; the folder, and (part, n), each file's number and the ids in it. Null texts have the end id alone.
 
     The ranges of doc_id that files hold come from the column of doc_ids alone. Tasks encode what they read and send each document's
     ids, two or four bytes each, to the task of its range, so texts aren't shuffled and each is encoded once."""
@@ -113,13 +114,15 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, stash: Stash, docs_p
 
     bits = bits_for(max(Tokenizer.from_file(tokenizer).get_vocab_size(), end + 1))
     kind, folder = "<u2" if bits <= 16 else "<u4", f"{stash.path}/tokens"
-    files = max(1, -(-docs.count() // docs_per_file))
+    number = docs.count()
+    files = max(1, -(-number // max(docs_per_file, -(-number // MOST_FILES))))
     ranged = docs.select("doc_id").repartitionByRange(files, "doc_id").groupBy(F.spark_partition_id().alias("p")).agg(F.max("doc_id").alias("last"))
-    lasts = np.array(sorted(r["last"] for r in ranged.collect() if r["last"] is not None), np.int64)  # one for each file
+    lasts = np.array(sorted(r["last"] for r in ranged.collect() if r["last"] is not None), np.int64)  # one for each file, MOST_FILES at most
+    borders, n_files = spark.sparkContext.broadcast(lasts[:-1]), max(1, len(lasts))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, flat, n in encoded(batches, tokenizer, end):
-            part = np.searchsorted(lasts[:-1], np.array([NULL_DOC if i is None else i for i in ids], np.int64)).astype(np.int32)
+            part = np.searchsorted(borders.value, np.array([NULL_DOC if i is None else i for i in ids], np.int64)).astype(np.int32)
             data = [p.tobytes() for p in np.split(flat.astype(kind), np.cumsum(n)[:-1])]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(ids, pa.int64()), pa.array(data, pa.binary())], ["part", "doc_id", "data"])
 
@@ -142,25 +145,20 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, stash: Stash, docs_p
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sum(made.sizes)], pa.int64())], ["part", "n"])
 
     coded = docs.select("doc_id", "text").mapInArrow(tidied(encode), "part int, doc_id long, data binary")
-    dealt = coded.repartitionById(max(1, len(lasts)), "part").sortWithinPartitions("doc_id", "data")
-    done = stash.keep(dealt.mapInArrow(tidied(write), "part long, n long"), "files")
-    return folder, sorted((r.part, r.n) for r in done.collect())
+    dealt = coded.repartitionById(n_files, "part").sortWithinPartitions("doc_id", "data")
+    return folder, stash.keep(dealt.mapInArrow(tidied(write), "part long, n long"), "files")
 
 
-def read_tokens(spark: SparkSession, folder: str, files: list[tuple[int, int]]) -> DataFrame:
-    """One row per document from the files: doc_id, start, n_tokens, ids_crc32. One task a file."""
-    starts, total = {}, 0
-    for i, (part, n) in enumerate(files):
-        starts[i] = (part, total)
-        total += n
+def read_tokens(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
+    """One row per document from the files: doc_id, start, n_tokens, ids_crc32. One task a file; it is told how many ids the files before hold."""
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # MOST_FILES rows at most
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow.fs import FileSystem
 
         fs, root = FileSystem.from_uri(folder)
         for batch in batches:
-            for i in batch.column(0).to_pylist():
-                part, base = starts[i]
+            for part, base in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with fs.open_input_file(f"{root}/{part:06d}.mtok") as source:
                     file = Reader(source)
                     ends, crcs, at = np.cumsum(file.sizes), [], 0
@@ -172,15 +170,15 @@ def read_tokens(spark: SparkSession, folder: str, files: list[tuple[int, int]])
                         at = to
                     yield pa.RecordBatch.from_arrays([pa.array(file.docs, mask=file.docs == NULL_DOC), pa.array(base + ends - file.sizes), pa.array(file.sizes), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    numbers = spark.range(0, len(files), 1, max(1, len(files)))
-    return numbers.mapInArrow(tidied(scan), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    told = files.select("part", before.alias("base"))
+    return told.repartitionByRange(max(1, files.count()), "part").mapInArrow(tidied(scan), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_file_round_trip(docs: DataFrame, tokenizer: str, end: int, stash: Stash | None = None, docs_per_file: int = DOCS_PER_FILE) -> DataFrame:
     """Encodes, writes and reads back: doc_id, start, n_tokens, ids_crc32, one row per row of docs.
 
-    Null and empty texts have the end id alone; a null doc_id sorts first; rows that repeat a doc_id stay separate rows; an empty
-    table writes no file and gives no rows; other columns are ignored."""
+    Null and empty texts have the end id alone, very long ones pass through in one piece; a null doc_id sorts first; rows that repeat a doc_id stay separate rows, in the
+    order of their ids, and share a file; an empty table writes no file and gives no rows; other columns are ignored."""
     stash = stash or Stash(docs.sparkSession)
     return read_tokens(docs.sparkSession, *write_tokens(docs, tokenizer, end, stash, docs_per_file))
 
