@@ -1,60 +1,32 @@
-"""Exact sums of doubles, as short lists of doubles that don't overlap."""
+"""Exact sums of doubles: whole numbers for each power of two, put together."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterable, Iterator
-
-import pandas as pd
-
-
-def grown(parts: list[float], x: float) -> list[float]:
-    """parts with x added without error; parts are few, and their exact sum is all that was added."""
-    out = []
-    for p in parts:
-        if abs(x) < abs(p):
-            x, p = p, x
-        high = x + p
-        low = p - (high - x)
-        if low:
-            out.append(low)
-        x = high
-    return [*out, x]
-
-
-def expansions(keys: list[str]):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, list[float]] = {}
-        for pdf in frames:
-            for row in pdf.itertuples(index=False, name=None):
-                key, x = tuple(None if v != v else v for v in row[:-1]), row[-1]
-                parts = held.setdefault(key, [])
-                if x is None or x != x:
-                    continue
-                if math.isinf(x) or any(map(math.isinf, parts)):
-                    held[key] = [math.fsum([*parts, x]) if not any(math.isinf(p) and p != x for p in parts) else math.nan]
-                else:
-                    held[key] = grown(parts, x)
-            if len(held) > 200_000:
-                yield _frame(held, keys)
-                held.clear()
-        if held:
-            yield _frame(held, keys)
+from decimal import Decimal
+from fractions import Fraction
 
-    return run
+import pyarrow as pa
+
+#: A double is scaled to a whole number of at most two bits more than its own 53.
+WHOLE_BITS = 52
 
 
-def _frame(held: dict, keys: list[str]) -> pd.DataFrame:
-    made = pd.DataFrame(list(held), columns=keys)
-    made["_parts"] = list(held.values())
-    return made
+def rounded(parts: list[tuple[int, int]]) -> float:
+    """The double next to the sum of n * 2**p."""
+    total = sum((Fraction(n) * Fraction(2) ** p for p, n in parts), Fraction(0))
+    try:
+        return total.numerator / total.denominator  # of whole numbers, Python rounds the quotient correctly
+    except OverflowError:
+        return float("inf") if total > 0 else float("-inf")
 
 
-def rounded(keys: list[str], out: str):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        made = pdf[keys].iloc[:1].copy()
-        parts: Iterable[float] = [x for p in pdf["_parts"] for x in p]
-        made[out] = math.fsum(parts) if parts else None
-        return made
+def together(keys: list[str], out: str):
+    def run(table: pa.Table) -> pa.Table:
+        parts, odd = [], [x for x in table.column("_odd").to_pylist() if x is not None]
+        for p, s in zip(table.column("_p").to_pylist(), table.column("_s").to_pylist(), strict=True):
+            if p is not None and s is not None:
+                parts.append((p, int(Decimal(s))))
+        made = sum(odd) if odd else rounded(parts) if parts else None
+        return pa.table([*(table.column(k).slice(0, 1) for k in keys), pa.array([made], pa.float64())], names=[*keys, out])
 
     return run

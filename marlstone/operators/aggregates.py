@@ -71,14 +71,24 @@ def arg_min(x: Column, y: Column) -> Column:
 
 
 def exact_double_sum(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """Sum of doubles, correctly rounded and the same in any order. Every task reduces its rows of a key to a few doubles whose
-    exact sum is the rows' sum, and these are summed with the same care, so no task holds a key's rows."""
-    from pyspark.sql.types import ArrayType, DoubleType, StructType
+    """Sum of doubles, correctly rounded and the same in any order; null if there is no value, and as IEEE has it where values are infinite or no numbers.
 
-    from ..functions.exact import expansions, rounded
+    A double is a whole number of at most 55 bits times a power of two. The whole numbers are summed in 38 digits for each power, in
+    generated code and before the shuffle, so a key has at most some 2,100 sums, and these are put together exactly and rounded once."""
+    from pyspark.sql.types import DoubleType, StructType
+
+    from ..functions.exact import WHOLE_BITS, together
     from ..runtime import ship
 
     ship(df.sparkSession)
-    types = StructType([df.schema[k] for k in keys])
-    partial = df.select(*keys, F.col(value).cast("double").alias("_v")).mapInPandas(expansions(keys), StructType([*types.fields]).add("_parts", ArrayType(DoubleType())))
-    return partial.groupBy(*keys).applyInPandas(rounded(keys, out), StructType([*types.fields]).add(out, DoubleType()))
+    v = F.col("_v")
+    plain = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    # One below the logarithm's floor, which may be one too high; halves of the shift, for a whole one may have no double.
+    power = F.when(plain & (v != 0), F.floor(F.log2(F.abs(v))) - 1 - WHOLE_BITS).when(plain, 0).cast("int")
+    shift = -F.col("_p")
+    half = F.floor(shift / 2)
+    whole = (v * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), shift - half)).cast("long").cast("decimal(38,0)")
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).withColumn("_p", power)
+    sums = rows.groupBy(*keys, "_p").agg(F.sum(F.when(F.col("_p").isNotNull(), whole)).alias("_s"), F.sum(F.when(F.col("_p").isNull(), v)).alias("_odd"))
+    types = StructType([df.schema[k] for k in keys]).add(out, DoubleType())
+    return sums.groupBy(*keys).applyInArrow(together(keys, out), types)

@@ -199,6 +199,19 @@ def test_exact_numbers(spark):
     assert {r.k if r.k == r.k else None: r.s for r in exact_double_sum(doubles.repartition(5), ["k"], "v", "s").collect()} == {1: 0.6, None: 0.6}
 
 
+def test_exact_double_sums_of_any_size(spark):
+    import math
+    import random
+
+    rng = random.Random(3)
+    values = [rng.choice([-1, 1]) * rng.random() * 2.0 ** rng.randrange(-300, 300) for _ in range(3000)] + [5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, -1.7976931348623157e308, 0.0, -0.0, 1.0, 2.0**53, 2.0**52 - 0.5]
+    rows_ = [(i % 3, v) for i, v in enumerate(values)] + [(7, None), (8, float("inf")), (8, 1.0), (9, float("nan")), (10, float("inf")), (10, float("-inf")), (11, 5e-324), (11, 5e-324), (12, 1e16), (12, 1.0), (12, -1e16)]
+    found = {r.k: r.s for r in exact_double_sum(spark.createDataFrame(rows_, "k int, v double").repartition(7), ["k"], "v", "s").collect()}
+    for k in range(3):
+        assert found[k] == math.fsum(v for i, v in rows_ if i == k)
+    assert found[7] is None and found[8] == float("inf") and math.isnan(found[9]) and math.isnan(found[10]) and found[11] == 1e-323 and found[12] == 1.0
+
+
 def test_joins(spark):
     left = spark.createDataFrame([(1,), (5,), (9,), (None,)], "a bigint")
     right = spark.createDataFrame([(0, 5, "x"), (5, 9, "y"), (20, 30, "z"), (None, 3, "n"), (8, 2, "b")], "lo bigint, hi bigint, t string")
