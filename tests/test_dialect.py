@@ -178,6 +178,21 @@ def test_ranges_join_by_block(both, spark):
             assert "_w" in plan and "CartesianProduct" not in df._jdf.queryExecution().executedPlan().toString() and "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_latest_rows_are_carried(both, spark):
+    engine, con = Engine(spark), duckdb.connect()
+    rows = [(i, i % 5 if i % 11 else None, (i * 37) % 50 if i % 13 else None, i % 3) for i in range(200)]
+    con.execute("CREATE TABLE ev (id BIGINT, k BIGINT, t BIGINT, kind BIGINT)")
+    con.executemany("INSERT INTO ev VALUES (?, ?, ?, ?)", rows)
+    engine.register("ev", spark.createDataFrame(rows, "id bigint, k bigint, t bigint, kind bigint"))
+    for op, way in (("<=", "DESC"), ("<", "DESC"), (">=", "ASC"), (">", "ASC")):
+        text = f"SELECT e.id, (SELECT p.t * 2 FROM ev p WHERE p.kind = 1 AND p.k = e.k AND p.t {op} e.t ORDER BY p.t {way} LIMIT 1) AS v FROM ev e WHERE e.kind <> 1"
+        df = engine.sql(text)
+        con.execute(text)
+        assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, con.fetchall()))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Window" in plan
+
+
 def test_top_per_group_is_cut_before_the_shuffle(both):
     for text in ("SELECT src, blk FROM pay QUALIFY row_number() OVER (PARTITION BY src ORDER BY blk DESC) = 1", "SELECT src, blk FROM pay QUALIFY blk = min(blk) OVER (PARTITION BY src)"):
         assert "WindowGroupLimit" in both[1].sql(text)._jdf.queryExecution().executedPlan().toString()
