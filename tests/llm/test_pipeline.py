@@ -71,6 +71,38 @@ def test_rows_that_repeat_a_doc_id(spark, sf):
     assert got == want
 
 
+def test_near_copies_where_ids_repeat_or_are_null(spark, sf):
+    base = " ".join(f"w{i}" for i in range(60))
+    docs = table(spark, [(3, base), (7, base + " more"), (7, "quite another text of eight words in all"), (9, "Quite another text of eight words in all"), (None, "a null id and a text of its own here"), (5, None), (5, "")])
+    out = corpus_pipeline.drop_near_copies(spark, docs, sf)
+    assert out.columns == docs.columns
+    # Of each group the row with the smallest id stays, and no text of its own goes with a copy's id.
+    assert sorted(map(str, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(str, [(3, base), (7, "quite another text of eight words in all"), (None, "a null id and a text of its own here"), (5, None), (5, "")]))
+
+
+ODD = [(1, None), (2, ""), (3, "  \t "), (4, "one word " * 30_000), (5, "one word " * 30_000), (6, "plain words here to stay"), (6, "plain words here to stay"), (None, "a text without an id"), (8, "PLAIN words here to stay", None, None), (9, "idiot moron scum trashy"), (10, "a <|endoftext|> b")]
+
+
+def test_odd_rows_in_each_stage(spark, sf):
+    """Nulls in any column, empty and very long texts, ties, repeated rows and clashing names, as the docstrings say."""
+    docs = table(spark, ODD)
+    stages, pairs = dict(corpus_pipeline.STAGES), lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    held = pairs(docs)
+    learn = table(spark, [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").where("doc_id >= 5000").select("doc_id", "text").collect()])
+    both = stages["toxicity"](spark, learn.unionAll(docs), sf)
+    assert both.columns == docs.columns
+    assert pairs(both.where("doc_id < 5000 or doc_id is null")) == held - Counter([(9, "idiot moron scum trashy")])
+    exact = stages["exact dedup"](spark, docs, sf)
+    assert pairs(exact) == Counter([(2, ""), (3, "  \t "), (5, "one word " * 30_000), (8, "PLAIN words here to stay"), (None, "a text without an id"), (9, "idiot moron scum trashy"), (10, "a <|endoftext|> b")])
+    near = stages["near dedup"](spark, docs, sf)
+    assert pairs(near) == Counter([(1, None), (2, ""), (3, "  \t "), (4, "one word " * 30_000), (6, "plain words here to stay"), (None, "a text without an id"), (9, "idiot moron scum trashy"), (10, "a <|endoftext|> b")])
+    mixed = stages["mixing"](spark, docs, sf)
+    assert mixed.columns == docs.columns and not pairs(mixed) - held - held
+    packed = stages["packing"](spark, docs, sf).collect()
+    assert Counter(r.doc_id for r in packed if r.piece == 0) == Counter(r.doc_id for r in docs.collect()) and all(r.length <= 2048 for r in packed)
+    assert [r.length for r in packed if r.doc_id in (1, 2)] == [1, 1] and sum(r.length for r in packed if r.doc_id == 10) == 5
+
+
 def test_empty_documents(spark, sf):
     docs = table(spark, [])
     for _, stage in corpus_pipeline.STAGES:
