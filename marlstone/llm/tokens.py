@@ -21,8 +21,8 @@ BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 STRETCH = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
 #: Texts with these take the general way; in others, stretches begin at each single space or line feed.
 UNUSUAL = re.compile(r"[\x00\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|[ \n][ \n]")
-#: The lookup is emptied beyond so many distinct stretches, which bounds a worker's memory.
-MOST_STRETCHES = 500_000
+#: Beyond so many distinct stretches the lookup forgets those seen once, and all but half of its places; this bounds a worker's memory.
+MOST_STRETCHES = 800_000
 BATCH_BYTES = 2_000_000
 
 
@@ -54,7 +54,24 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.index, self.flat, self.starts, self.sizes = _Index(), array("I"), array("q"), array("q")
+        self.index, self.flat, self.starts, self.sizes, self.hits = _Index(), array("I"), array("q"), array("q"), np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keeps the stretches seen most often."""
+        hits = np.pad(self.hits, (0, len(self.index) - len(self.hits)))
+        kept = np.flatnonzero(hits > 1)
+        if len(kept) > MOST_STRETCHES // 2:
+            kept = np.sort(kept[np.argsort(-hits[kept], kind="stable")[: MOST_STRETCHES // 2]])
+        keys, starts, sizes, flat = list(self.index), np.frombuffer(self.starts, np.int64), np.frombuffer(self.sizes, np.int64)[kept], np.frombuffer(self.flat, np.uint32)
+        first = np.cumsum(sizes) - sizes
+        ids = flat[np.repeat(starts[kept] - first, sizes) + np.arange(int(sizes.sum()))]
+        self._reset()
+        for i in kept.tolist():
+            self.index[keys[i]] = len(self.index)
+        self.flat.frombytes(ids.astype(np.uint32).tobytes())
+        self.starts.frombytes(first.astype(np.int64).tobytes())
+        self.sizes.frombytes(sizes.astype(np.int64).tobytes())
+        self.hits = hits[kept] // 2
 
     def _learn(self) -> None:
         new, self.index.new = self.index.new, []
@@ -79,7 +96,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of ids of each text."""
         if len(self.index) > MOST_STRETCHES:
-            self._reset()
+            self._forget()
         look, rows = self.index.__getitem__, []
         marked = {i: self.whole(t) for i, t in enumerate(texts) if self.marks and self.marks.search(t)}
         for i, t in enumerate(texts):
@@ -93,6 +110,7 @@ class Encoder:
         at = np.concatenate(rows) if rows else np.zeros(0, np.int64)
         starts, sizes, flat = np.frombuffer(self.starts, np.int64), np.frombuffer(self.sizes, np.int64), np.frombuffer(self.flat, np.uint32)
         n = sizes[at] if len(at) else at
+        self.hits = np.bincount(at, minlength=len(self.index)) + np.pad(self.hits, (0, len(self.index) - len(self.hits)))
         before = np.concatenate([[0], np.cumsum(n)])
         ids = flat[np.repeat(starts[at] - before[:-1], n) + np.arange(before[-1])] if len(at) else np.zeros(0, np.uint32)
         ends = np.cumsum([len(r) for r in rows], dtype=np.int64) if rows else np.zeros(0, np.int64)
