@@ -4,28 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def range_join(left: DataFrame, right: DataFrame, at: str, low: str, high: str, width: float, how: str = "inner", low_strict: bool = False, high_strict: bool = False) -> DataFrame:
-    """Rows of left with low <= at <= high of right, at and the bounds being numbers.
+def _number(df: DataFrame, name: str) -> Column:
+    """A column of numbers, dates or times as a double that keeps its order."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.DateType):
+        return F.unix_date(name).cast("double")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
+    return F.col(name).cast("double")
 
-    Ranges are cut into buckets of the given width and rows meet in their bucket, so the join is an equality join that
-    shuffles; a range is repeated once for each bucket it touches. Choose width near the usual length of a range. Null bounds
-    match nothing. how: inner, left (of left) or right. A row of right that touches no bucket of left stays in a right join."""
-    bucket = lambda c: F.floor(c / F.lit(width)).cast("long")
-    points = left.withColumn("_bucket", bucket(F.col(at)))
-    ranges = right.withColumn("_row", F.monotonically_increasing_id()) if how == "right" else right
-    ok = F.col(low) <= F.col(high)
-    spans = ranges.where(ok).withColumn("_bucket", F.explode(F.sequence(bucket(F.col(low)), bucket(F.col(high)))))
+
+def range_join(left: DataFrame, right: DataFrame, at: str, low: str, high: str, how: str = "inner", low_strict: bool = False, high_strict: bool = False) -> DataFrame:
+    """Rows of left with low <= at <= high of right; at and the bounds are numbers, dates or times.
+
+    A range falls in one block as wide as the next power of two beyond its length, whatever the length, so ranges are never repeated; a point looks
+    in its own block and the one before, for each width that ranges have (65 at most). The join is by equal block and shuffles.
+    Null bounds match nothing. how: inner, left (of left) or right; right rows without a point have nulls, and so have left rows without a
+    range, which are found by their value."""
+    lo, hi = _number(right, low), _number(right, high)
+    width = F.when(lo <= hi, F.ceil(F.log2(hi - lo + 1)).cast("int") + 1)
+    ranges = right.withColumn("_w", width).withColumn("_n", F.floor(lo / F.pow(F.lit(2.0), "_w")))
+    widths = right.select(F.collect_set(width)).scalar()
+    own = F.floor(_number(left, at) / F.pow(F.lit(2.0), "_w"))
+    points = left.withColumn("_w", F.explode(widths)).withColumn("_n", F.explode(F.array(own, own - 1)))
     above = F.col(at) > F.col(low) if low_strict else F.col(at) >= F.col(low)
     below = F.col(at) < F.col(high) if high_strict else F.col(at) <= F.col(high)
-    l, r = points.alias("l"), spans.alias("r")
-    joined = l.join(r, (F.col("l._bucket") == F.col("r._bucket")) & above & below, "left" if how == "left" else "inner")
-    joined = joined.select([F.col(f"l.{c}") for c in left.columns] + [F.col(f"r.{c}") for c in spans.columns if c != "_bucket"])
-    if how != "right":
+    l, r = points.alias("l"), ranges.alias("r")
+    joined = l.join(r, (F.col("l._w") == F.col("r._w")) & (F.col("l._n") == F.col("r._n")) & above & below, "right" if how == "right" else "inner")
+    joined = joined.select([F.col(f"l.{c}") for c in left.columns] + [F.col(f"r.{c}") for c in right.columns])
+    if how != "left":
         return joined
-    lonely = ranges.join(joined.select("_row").distinct(), "_row", "left_anti")
-    return joined.unionByName(lonely, allowMissingColumns=True).drop("_row")
+    lonely = left.join(joined.select(F.col(at).alias("_at")).distinct(), F.col(at) == F.col("_at"), "left_anti")
+    return joined.unionByName(lonely, allowMissingColumns=True)
 
 
 def latest_row(left: DataFrame, right: DataFrame, on: list[str], at: str, by: str, values: list[str]) -> DataFrame:

@@ -23,17 +23,17 @@ def _epochs(spark, sf_dir):
 
 @frame("j7_range_join", f"SELECT e.event_id, p.epoch FROM events e JOIN {_EPOCHS} p ON e.event_id >= p.first_id AND e.event_id <= p.last_id", sql=True)
 def j7_range_join(spark, sf_dir):
-    return range_join(table(spark, sf_dir, "events").select("event_id"), _epochs(spark, sf_dir), "event_id", "first_id", "last_id", 16).select("event_id", "epoch")
+    return range_join(table(spark, sf_dir, "events").select("event_id"), _epochs(spark, sf_dir), "event_id", "first_id", "last_id").select("event_id", "epoch")
 
 
 @frame("j8_outer_range_join", f"SELECT e.event_id, p.epoch FROM events e RIGHT JOIN {_EPOCHS} p ON e.event_id > p.first_id AND e.event_id <= p.last_id", sql=True)
 def j8_outer_range_join(spark, sf_dir):
-    return range_join(table(spark, sf_dir, "events").select("event_id"), _epochs(spark, sf_dir), "event_id", "first_id", "last_id", 16, "right", low_strict=True).select("event_id", "epoch")
+    return range_join(table(spark, sf_dir, "events").select("event_id"), _epochs(spark, sf_dir), "event_id", "first_id", "last_id", "right", low_strict=True).select("event_id", "epoch")
 
 
 @frame("j8_left_range_join", f"SELECT e.event_id, p.epoch FROM events e LEFT JOIN {_EPOCHS} p ON e.event_id >= p.first_id AND e.event_id < p.last_id", sql=True)
 def j8_left_range_join(spark, sf_dir):
-    return range_join(table(spark, sf_dir, "events").select("event_id"), _epochs(spark, sf_dir), "event_id", "first_id", "last_id", 16, "left", high_strict=True).select("event_id", "epoch")
+    return range_join(table(spark, sf_dir, "events").select("event_id"), _epochs(spark, sf_dir), "event_id", "first_id", "last_id", "left", high_strict=True).select("event_id", "epoch")
 
 
 both("j9_left_join", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderdate >= TIMESTAMP '2001-06-01 00:00:00'")
