@@ -199,7 +199,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     results; other columns are ignored."""
     ship(docs.sparkSession)
     stash = stash or Stash(docs.sparkSession)
-    return by_rows(stash, docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", lambda rows: _near_duplicates(rows, width, similarity, Stash(docs.sparkSession)))
+    return by_rows(stash, docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", lambda rows: _near_duplicates(rows, width, similarity, stash.inner()))
 
 
 def _near_duplicates(docs: DataFrame, width: int, similarity: tuple[int, int], stash: Stash) -> DataFrame:

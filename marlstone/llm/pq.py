@@ -179,7 +179,7 @@ def vector_links(vectors: DataFrame, least: float = 0.93, stash: Stash | None =
     results; other columns are ignored."""
     ship(vectors.sparkSession)
     stash = stash or Stash(vectors.sparkSession)
-    return by_rows(stash, vectors.select("vec_id", "label", "embedding"), "vec_id", lambda rows: _vector_links(rows, least, Stash(vectors.sparkSession)))
+    return by_rows(stash, vectors.select("vec_id", "label", "embedding"), "vec_id", lambda rows: _vector_links(rows, least, stash.inner()))
 
 
 def _vector_links(vectors: DataFrame, least: float, stash: Stash) -> DataFrame:

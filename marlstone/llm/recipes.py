@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Stash, ascii_lower, read
+from .shared import Stash, ascii_lower, join_small, read
 
 #: A chunk ends after at least LEAST characters at a consonant, a vowel and a space; at MOST characters if there is none.
 LEAST, MOST = 700, 8192
@@ -45,10 +45,10 @@ def exact_duplicates(docs: DataFrame, stash: Stash | None = None) -> DataFrame:
     base = base.select("doc_id", "text_sha256", listed.alias("ids"), F.xxhash64(listed).alias("h"))
     groups = base.groupBy("h", "ids").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
     groups = stash.keep(groups, "groups")
-    own = F.col("d.doc_id")
-    found = base.alias("d").join(groups.alias("g"), [F.col("d.h") == F.col("g.h"), F.col("d.ids") == F.col("g.ids")], "left")
-    keep = F.when(F.col("g.group_size").isNull(), own).otherwise(F.col("g.keep_id"))
-    return found.select(own, keep.alias("keep_id"), F.coalesce("g.group_size", F.lit(1)).cast("long").alias("group_size"), own.eqNullSafe(keep).alias("kept"), F.col("d.text_sha256"))
+    found = join_small(base.withColumn("own", F.col("doc_id")).drop("doc_id"), groups, ["h", "ids"])
+    own = F.col("own")
+    keep = F.when(F.col("group_size").isNull(), own).otherwise(F.col("keep_id"))
+    return found.select(own.alias("doc_id"), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), own.eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,13 +17,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of characters other than these six ASCII white spaces.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Tables of at most this many rows may be broadcast; the count is taken before, and a salted join serves beyond it.
-SMALL_ROWS = 100_000
+#: Tables of at most so many rows and bytes may be broadcast; both are counted before, and a salted join serves beyond them.
+SMALL_ROWS, SMALL_BYTES = 100_000, 64 << 20
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _stashes: list[Stash] = []
@@ -67,6 +68,12 @@ class Stash:
         self.spark, self.path = spark, f"{shared_dir(spark)}/marlstone-{uuid.uuid4().hex}"
         _stashes.append(self)
 
+    def inner(self) -> Stash:
+        """A stash of its own names that goes with this one."""
+        made = object.__new__(Stash)
+        made.spark, made.path = self.spark, f"{self.path}/inner-{uuid.uuid4().hex}"
+        return made
+
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         where = f"{self.path}/{name}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(where)
@@ -104,10 +111,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether df may be broadcast, by rows and by bytes."""
+    each = lambda f: F.octet_length(f.name) if isinstance(f.dataType, (T.StringType, T.BinaryType)) else 16 * F.size(f.name) if isinstance(f.dataType, T.ArrayType) else F.lit(8)
+    size = sum((F.coalesce(each(f), F.lit(0)).cast("long") for f in df.schema), F.lit(0).cast("long"))
+    found = df.select(size.alias("size")).limit(SMALL_ROWS + 1).agg(F.count("*").alias("n"), F.sum("size").alias("size")).first()
+    return found.n <= SMALL_ROWS and (found.size or 0) <= SMALL_BYTES
+
+
 def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", salts: int = 64) -> DataFrame:
-    """left ⋈ right on columns that are not null, where right has one row a key. right is broadcast if it has SMALL_ROWS rows at most;
+    """left ⋈ right on columns that are not null, where right has one row a key. right is broadcast if it has SMALL_ROWS rows and SMALL_BYTES at most;
     else left is salted and right repeated once for each salt, so that no key of left meets in one task."""
-    if right.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+    if is_small(right):
         return left.join(F.broadcast(right), on, how)
     salt = F.pmod(F.xxhash64(*[c for c in left.columns if c not in on] or on), F.lit(salts))
     many = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
