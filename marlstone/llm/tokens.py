@@ -20,12 +20,20 @@ from .shared import text_parts
 BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 STRETCH = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
 #: Texts with these take the general way; in others, stretches begin at each single space or line feed.
-UNUSUAL = re.compile(r"[\x00\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|[ \n][ \n]")
+PAIRS, WIDE = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\0", "\x0b", "\x0c"), re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Beyond so many distinct stretches the lookup forgets those seen once, and all but half of its places; this bounds a worker's memory.
 MOST_STRETCHES = 800_000
 BATCH_BYTES = 2_000_000
 
 
+def unusual(text: str) -> bool:
+    """Whether the text has white space other than single spaces and line feeds. Searching for one thing at a time is three times as fast as a pattern."""
+    for p in PAIRS:
+        if p in text:
+            return True
+    return not text.isascii() and WIDE.search(text) is not None
+
+
 class _Index(dict):
     """Numbers stretches as they come."""
 
@@ -103,7 +111,7 @@ class Encoder:
             if i in marked:
                 rows.append(np.zeros(0, np.int64))
                 continue
-            parts = STRETCH.findall(t) if UNUSUAL.search(t) else t.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+            parts = STRETCH.findall(t) if unusual(t) else t.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
             rows.append(np.fromiter(map(look, parts), np.int64, len(parts)))
         if self.index.new:
             self._learn()
