@@ -23,8 +23,9 @@ STATES, CLASS_BITS, PASSES = 8, 13, 6
 #: How much the first model stays in a state, so that states become topics and languages; 0 leaves moves to chance.
 STAY = 0.9
 #: Training and scoring run over whole texts. Training holds forward states of about so many tokens at once; of texts beyond, it keeps
-#: the states at the borders of stretches and computes each stretch again on the way back.
-HOLD = 1 << 18
+#: the states at the borders of stretches and computes each stretch again on the way back. Texts of like length, which share
+#: steps, are sought among POOL tokens.
+HOLD, POOL = 1 << 20, 1 << 22
 #: Words that make up at least one in FREQUENT tokens are looked up from a broadcast table (so many words at most), others joined.
 FREQUENT = 1 << 21
 END = -0x61C8864680B583EB  # hash of the end
@@ -172,20 +173,33 @@ def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["seq"])
 
 
+def _pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """Texts of about POOL tokens, the longest last."""
+    rows, held = [], 0
+    for batch in batches:
+        for row in batch.column(0):
+            rows.append(row.as_py())
+            held += len(rows[-1]) // 2
+            if held >= POOL:
+                yield sorted(rows, key=len)
+                rows, held = [], 0
+    if rows:
+        yield sorted(rows, key=len)
+
+
 def _expecting(model):
     """Expected counts of the partition's texts: one row for each state."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(model.value.start)
         start, moves, emit, like = np.zeros(k), np.zeros((k, k)), np.zeros((k, CLASSES)), 0.0
-        for batch in batches:
-            rows = sorted(batch.column(0).to_pylist(), key=len)  # texts of like length share steps
+        for rows in _pooled(batches):
             while rows:
                 part, size = [], 0
                 while rows and (not part or size + len(rows[-1]) // 2 <= HOLD):
                     part.append(np.frombuffer(rows.pop(), "<u2"))
                     size += len(part[-1])
-                a, b, c, d = model.value.expected(np.concatenate(part).astype(np.int64), np.array([len(x) for x in part]))
+                a, b, c, d = model.value.expected(np.concatenate(part).astype(np.int32), np.array([len(x) for x in part]))
                 start, moves, emit, like = start + a, moves + b, emit + c, like + d
         yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(start), pa.array([x.tobytes() for x in moves], pa.binary()), pa.array([x.tobytes() for x in emit], pa.binary()), pa.array([like / k] * k)], ["state", "first", "moves", "emit", "like"])
 
@@ -226,7 +240,8 @@ def train(texts: DataFrame, mass: np.ndarray, stash: Stash, states: int = STATES
 def score(docs: DataFrame, training: DataFrame, stash: Stash | None = None, states: int = STATES, passes: int = PASSES, stay: float = STAY) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
-    Tokens are words with A-Z lower-cased and one end for each text; null texts are empty and have the end alone. With no training
+    Tokens are words with A-Z lower-cased and one end for each text; null texts are empty and have the end alone. Texts are trained on and scored
+    whole, however long. An empty table gives an empty result. With no training
     texts every token is unknown and has the probability one. Rows that repeat a doc_id are scored alike; other columns are ignored."""
     spark = docs.sparkSession
     ship(spark)
