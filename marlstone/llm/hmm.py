@@ -55,13 +55,13 @@ class Model:
         starts = (np.cumsum(sizes) - sizes)[order]
         live_until, ratio = sizes[order], np.vstack([self.ratio.T, np.ones(len(self.start))])
         alive = np.searchsorted(-live_until, -np.arange(1, (live_until[0] if len(sizes) else 0) + 1), side="right")
-        state = np.tile(self.start, (len(sizes), 1))
+        state, ones = np.tile(self.start, (len(sizes), 1)), np.ones(len(self.start))
         for t, n in enumerate(alive.tolist()):
             state = state[:n]
             if t:
                 state = state @ self.move
             state *= ratio[classes[starts[:n] + t]]
-            scale = state.sum(axis=1)
+            scale = state @ ones
             state /= scale[:, None]
             out[:n] += np.log(scale)
         back = np.empty(len(sizes))
@@ -80,7 +80,7 @@ class Model:
         # The longest texts come first; those that still run at a step are the first alive[step].
         alive = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), side="right")
         cuts = [0, *(np.flatnonzero(np.diff((np.cumsum(alive) - 1) // HOLD)) + 1).tolist(), len(alive)]
-        stretches, ratio = list(zip(cuts[:-1], cuts[1:], strict=True)), np.ascontiguousarray(self.ratio.T)
+        stretches, ratio, ones = list(zip(cuts[:-1], cuts[1:], strict=True)), np.ascontiguousarray(self.ratio.T), np.ones(k)
 
         def forward(a: int, b: int, state: np.ndarray) -> tuple[list, list, list]:
             """For each step its classes, the states behind it and their scale; state: that before step a."""
@@ -89,7 +89,7 @@ class Model:
                 n = alive[t]
                 classes.append(flat[starts[:n] + t])
                 state = (state[:n] @ self.move if t else state) * ratio[classes[-1]]
-                scale.append(state.sum(axis=1)[:, None])
+                scale.append((state @ ones)[:, None])  # faster than a sum along eight numbers
                 state /= scale[-1]
                 alpha.append(state)
             return classes, alpha, scale
@@ -111,10 +111,10 @@ class Model:
                     after = ratio[classes[own]] * beta / scale[own]
                     moves += (alpha[own - 1] if own else border[at])[:n].T @ after
                     carry = after @ self.move.T
-                gamma /= gamma.sum(axis=1, keepdims=True)
+                gamma /= (gamma @ ones)[:, None]
                 alpha[own] = gamma
-            seen, weight = np.concatenate(classes), np.concatenate(alpha)
-            emit += np.stack([np.bincount(seen, weights=weight[:, i], minlength=CLASSES) for i in range(k)])
+            seen, weight = np.concatenate(classes), np.ascontiguousarray(np.concatenate(alpha).T)
+            emit += np.stack([np.bincount(seen, weights=w, minlength=CLASSES) for w in weight])
         return gamma.sum(axis=0), moves * self.move, emit, like
 
 

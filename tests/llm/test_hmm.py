@@ -147,3 +147,24 @@ def test_edge_cases(spark):
     twice = hmm.score(table(spark, [(1, "a b"), (1, "A B"), (None, "zzz")]), table(spark, [(1, "a b c")])).collect()
     one, two, other = sorted(twice, key=lambda r: (r.doc_id is None, r.score))
     assert one.score == two.score and other.n_known == 1
+
+
+def test_expected_counts_do_not_depend_on_batches_and_pools(monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [rng.integers(0, hmm.CLASSES, n).astype("<u2").tobytes() for n in (1, 3, 700, 40, 40, 5, 1, 90, 300)]
+    mass = np.full(hmm.CLASSES, 1 / hmm.CLASSES)
+
+    class held:
+        value = hmm.first_model(mass, 3)
+
+    def counts(size):
+        batches = [pa.RecordBatch.from_arrays([pa.array(rows[i : i + size], pa.binary())], ["seq"]) for i in range(0, len(rows), size)]
+        out = list(hmm._expecting(held)(iter(batches)))[0].to_pydict()
+        return [np.concatenate([np.frombuffer(x) for x in out[c]]) for c in ("moves", "emit")] + [np.array(out["first"]), np.array([sum(out["like"])])]
+
+    want = counts(len(rows))
+    assert want[2].sum() == pytest.approx(len(rows)) and want[1].sum() == pytest.approx(sum(len(r) // 2 for r in rows))
+    monkeypatch.setattr(hmm, "POOL", 50)
+    monkeypatch.setattr(hmm, "HOLD", 64)
+    for size in (1, 4):
+        assert all(np.allclose(a, b) for a, b in zip(want, counts(size)))
