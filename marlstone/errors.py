@@ -55,7 +55,7 @@ _KINDS: tuple[tuple[str, type[EngineError], str, str], ...] = (
     ("NUMERIC_VALUE_OUT_OF_RANGE", Overflow, r"(The .*? cannot be represented as .*?)(?: If|\.|$)", "Out of Range Error: {0}"),
     ("NUMERIC_OUT_OF_SUPPORTED_RANGE", Overflow, "", "Out of Range Error: a number has no room in its type"),
     ("CAST_OVERFLOW", Overflow, r"The value (\S+) of the type \"?(\w+)\"? cannot be cast to \"?(\w+)", "Conversion Error: Type {1} with value {0} can't be cast because the value is out of range for the destination type {2}"),
-    ("overflow", Overflow, "", ""),
+    ("overflow", Overflow, r"(overflow.*?)(?: SQLSTATE|$)", "Out of Range Error: {0}"),
     ("PARSE_SYNTAX_ERROR", ParseError, r"at or near ('[^']*'|end of input)", "Parser Error: syntax error at or near {0}"),
     ("TABLE_OR_VIEW_NOT_FOUND", NotAllowed, r"`([^`]*)` cannot be found", "Catalog Error: Table with name {0} does not exist!"),
     ("UNRESOLVED_ROUTINE", NotAllowed, r"routine `([^`]*)`", "Catalog Error: Scalar Function with name {0} does not exist!"),

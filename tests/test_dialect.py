@@ -155,7 +155,7 @@ def test_answers(both, text, rows):
     ("SELECT min(TRY_CAST(val AS BIGINT)) AS s FROM pay", PlanError), ("SELECT json_extract('nope', '$.a') AS a", PlanError), ("SELECT list_reduce(list_filter([1], lambda x: x > 1), lambda a, x: a) AS r", PlanError), ("SELECT error('stop') AS e", PlanError),
     ("SELECT DISTINCT who FROM ev ORDER BY n", PlanError), ("WITH x(a, a) AS (SELECT 1, 2) SELECT * FROM x", PlanError), ("SELECT * FROM unnest([1, 2]) t(x)", PlanError), ("SELECT * FROM range(DATE '2024-01-01', DATE '2024-01-03') t(d)", PlanError), ("SELECT * FROM (SELECT 3 AS n) s, range(s.n) t(x)", PlanError),
     ("SELECT CAST(struct_pack(a := 1) AS VARCHAR) AS a", PlanError), ("SELECT 'abc' GLOB 'a*' AS a", PlanError), ("SELECT reflect('java.lang.System', 'exit') AS a", NotAllowed), ("SELECT COLUMNS('a') FROM ev", NotAllowed), ("SELECT current_user() AS u", NotAllowed), ("SELECT * FROM read_csv('x')", NotAllowed),
-    ("SELECT id, FROM", ParseError), ("SELECT (1", ParseError), ("SELECT 1 +", ParseError), ("SELECT id * 9223372036854775807 AS x FROM ev", Overflow), ("SELECT CAST(id * 100 AS TINYINT) AS x FROM ev", Overflow), ("SELECT 1 << 63 AS a", PlanError), ("SELECT strftime(ts, '%Q') AS a FROM pay", PlanError), ("SELECT CAST('x' AS BIGINT) AS a", PlanError),
+    ("SELECT id, FROM", ParseError), ("SELECT (1", ParseError), ("SELECT 1 +", ParseError), ("SELECT id * 9223372036854775807 AS x FROM ev", Overflow), ("SELECT CAST(id * 100 AS TINYINT) AS x FROM ev", Overflow), ("SELECT 1 << 63 AS a", Overflow), ("SELECT strftime(ts, '%Q') AS a FROM pay", PlanError), ("SELECT CAST('x' AS BIGINT) AS a", PlanError),
 ])
 def test_refusals(both, text, kind):
     engine = both[1]
