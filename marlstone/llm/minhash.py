@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SMALL_ROWS, Stash, by_rows, components, read, ship, text_parts, tidied
+from .shared import SMALL_ROWS, Stash, by_rows, components, read, settle, ship, text_parts, tidied
 from .wordhash import mixed, word_hashes
 
 COORDINATES = 64
@@ -198,6 +198,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     doc_id is linked with nothing, has a null component_id and is kept. Texts count whole, however long. Empty tables give empty
     results; other columns are ignored."""
     ship(docs.sparkSession)
+    settle(docs.sparkSession)
     stash = stash or Stash(docs.sparkSession)
     return by_rows(stash, docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", lambda rows: _near_duplicates(rows, width, similarity, stash.inner()))
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Stash, read, ship, tidied
+from .shared import Stash, read, settle, ship, tidied
 from .tokens import encoded
 
 LENGTH = 2048
@@ -88,6 +88,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, end: int, cap: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     ship(docs.sparkSession)
+    settle(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(tidied(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 

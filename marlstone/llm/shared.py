@@ -50,6 +50,13 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(key)
 
 
+def settle(spark: SparkSession) -> None:
+    """Has executors collect their garbage, so that heaps which earlier stages filled shrink before Python workers grow beside them: one short
+    task a core. An executor that none of them reaches stays as it is."""
+    n = max(1, spark.sparkContext.defaultParallelism)
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; in a session that sets none (tests), a temporary one of this process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
