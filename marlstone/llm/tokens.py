@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .shared import text_parts
 
@@ -82,24 +83,27 @@ class Encoder:
         self.hits = hits[kept] // 2
 
     def _learn(self) -> None:
+        """Encodes the new stretches. Their ids stand in the order in which the library gives them; starts and sizes say where, so nothing is cut up."""
         new, self.index.new = self.index.new, []
-        joined = [i for i, w in enumerate(new) if w and w[0] in " \n" and not w[-1].isspace() and w[-1] > " "]
-        alone = sorted(set(range(len(new))) - set(joined))
-        found: list[np.ndarray | None] = [None] * len(new)
+        joined, alone = [], []
+        for i, w in enumerate(new):
+            (joined if w and w[0] in " \n" and w[-1] > " " and not w[-1].isspace() else alone).append(i)
+        starts, sizes = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
         groups = [joined[at : at + 3000] for at in range(0, len(joined), 3000)]
-        coded = self.tokenizer.encode_batch_fast(["".join(new[i] for i in g) for g in groups], add_special_tokens=False)
-        for group, code in zip(groups, coded, strict=True):
+        texts = [[new[i] for i in g] for g in groups]
+        coded = self.tokenizer.encode_batch_fast(["".join(t) for t in texts], add_special_tokens=False)
+        for group, own, code in zip(groups, texts, coded, strict=True):
             ids = np.array(code.ids, np.uint32)
-            ends = np.cumsum([len(new[i].encode("utf-8", "surrogatepass")) for i in group])
+            ends = np.cumsum(np.asarray(pc.binary_length(pa.array(own, pa.string())), np.int64))
             cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends, side="left") + 1
-            for i, part in zip(group, np.split(ids, cuts[:-1]), strict=True):
-                found[i] = part
+            sizes[group] = n = np.diff(cuts, prepend=0)
+            starts[group] = len(self.flat) + cuts - n
+            self.flat.frombytes(ids.tobytes())
         for i, code in zip(alone, self.tokenizer.encode_batch_fast([new[i] for i in alone], add_special_tokens=False), strict=True):
-            found[i] = np.array(code.ids, np.uint32)
-        for part in found:
-            self.starts.append(len(self.flat))
-            self.sizes.append(len(part))
-            self.flat.frombytes(part.tobytes())
+            starts[i], sizes[i] = len(self.flat), len(code.ids)
+            self.flat.extend(code.ids)
+        self.starts.frombytes(starts.tobytes())
+        self.sizes.frombytes(sizes.tobytes())
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of ids of each text."""

@@ -35,6 +35,20 @@ def test_encoder_equals_the_library(plain):
     assert [len(x) for x in tool.encode([])] == [0, 0]
 
 
+def test_new_stretches_are_not_cut_up_one_by_one(plain, monkeypatch):
+    """Learning works on whole groups of stretches; a cut for each took about a fifth of the encoder's time."""
+
+    def refused(*_):
+        raise AssertionError("cut one by one")
+
+    text = " ".join(f"w{i}x é{i}" for i in range(4000)) + "\n \n end"
+    tool = tokens.Encoder(PATH)
+    monkeypatch.setattr(tokens.np, "split", refused)
+    for _ in range(2):
+        ids, n = tool.encode([text, "two words", ""])
+        assert ids.tolist() == plain(text) + plain("two words") and n.tolist() == [len(plain(text)), len(plain("two words")), 0]
+
+
 def test_encoder_forgets_and_goes_on(plain, monkeypatch):
     monkeypatch.setattr(tokens, "MOST_STRETCHES", 3)
     tool = tokens.Encoder(PATH)
