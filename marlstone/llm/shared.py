@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
+import itertools
 import os
 import tempfile
 import threading
@@ -26,10 +28,13 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Tables of at most so many rows and bytes may be broadcast; both are counted before, and a salted join serves beyond them.
 SMALL_ROWS, SMALL_BYTES = 100_000, 64 << 20
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: With each so many tables written the driver collects its garbage.
+TIDY_EVERY = 8
 
 _stashes: list[Stash] = []
 _shipped: set[str] = set()
 _lock = threading.Lock()
+_written = itertools.count(1)
 
 
 def ship(spark: SparkSession) -> None:
@@ -57,6 +62,13 @@ def settle(spark: SparkSession) -> None:
     spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
 
 
+def settle_driver(spark: SparkSession) -> None:
+    """Has the driver collect its garbage: its heap shrinks, and Spark lets go of broadcasts, shuffles and metrics of queries that are over.
+    Left to itself the heap grows to its limit with the number of tasks, beside what the JVM and Python hold outside it."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; in a session that sets none (tests), a temporary one of this process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
@@ -84,6 +96,8 @@ class Stash:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         where = f"{self.path}/{name}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(where)
+        if next(_written) % TIDY_EVERY == 0:
+            settle_driver(self.spark)
         return self.spark.read.schema(df.schema).parquet(where)
 
     def drop(self, *names: str) -> None:
