@@ -12,6 +12,7 @@ import threading
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -28,8 +29,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Tables of at most so many rows and bytes may be broadcast; both are counted before, and a salted join serves beyond them.
 SMALL_ROWS, SMALL_BYTES = 100_000, 64 << 20
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-#: With each so many tables written the driver collects its garbage.
-TIDY_EVERY = 8
+#: With each so many tables written, and every so many seconds while one is written, the driver collects its garbage.
+TIDY_EVERY, TIDY_S = 8, 15.0
 
 _stashes: list[Stash] = []
 _shipped: set[str] = set()
@@ -64,11 +65,34 @@ def settle(spark: SparkSession) -> None:
 
 def settle_driver(spark: SparkSession) -> None:
     """Has the driver collect its garbage: its heap shrinks, and Spark lets go of broadcasts, shuffles and metrics of queries that are over.
-    Left to itself the heap grows to its limit with the number of tasks, beside what the JVM and Python hold outside it."""
+    Left to itself the heap grows to its limit with the number of tasks, beside what the JVM and Python hold outside it. Python gives back what
+    it doesn't use."""
     gc.collect()
+    give_back()
     spark.sparkContext._jvm.System.gc()
 
 
+@contextmanager
+def tended(spark: SparkSession) -> Iterator[None]:
+    """While this lasts, the driver collects its garbage every TIDY_S seconds, so that a long job's tasks don't fill its heap."""
+    over = threading.Event()
+
+    def tend() -> None:
+        while not over.wait(TIDY_S):
+            try:
+                settle_driver(spark)
+            except Exception:  # the session has ended; the job itself says why
+                return
+
+    thread = threading.Thread(target=tend, daemon=True)
+    thread.start()
+    try:
+        yield
+    finally:
+        over.set()
+        thread.join()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; in a session that sets none (tests), a temporary one of this process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
@@ -95,7 +119,8 @@ class Stash:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         where = f"{self.path}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(where)
+        with tended(self.spark):
+            df.write.mode("overwrite").option("compression", "zstd").parquet(where)
         if next(_written) % TIDY_EVERY == 0:
             settle_driver(self.spark)
         return self.spark.read.schema(df.schema).parquet(where)
